@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codequarry.llm import encode, mix
+from codequarry.llm import encode, mix, neighbours, split_chunks
 from codequarry.llm import near_duplicates as near
 from codequarry.session import table
 
@@ -18,6 +19,28 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.similar_groups(*near.duplicate_classes(table(spark, d, "code_chunks")))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_chunks.split_oversized(table(spark, d, "code_chunks"), table(spark, d, "chunk_config"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_chunks.oversized_ids(_pieces(spark, d))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return _pieces(spark, d)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, d, "code_chunks"))
+
+
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every fiftieth id (by hash), among all rows."""
+    return neighbours.nearest_ids(table(spark, d, "code_chunks"), F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -32,6 +55,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_ids, p7_mix, p7_shares)}
-#: None of these can be written in SQL; tests/llm holds them against brute force, round trips and held-out accuracy.
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p4_nearest, p6_ids, p7_mix, p7_shares)}
+#: The others can't be written in SQL; tests/llm holds them against brute force, round trips and held-out accuracy.
+ORACLE: dict[str, str] = {
+    "p3_found": """
+      SELECT DISTINCT id FROM code_chunks JOIN chunk_config USING (project_path)
+      WHERE length(content) > max_chunk_size AND id IS NOT NULL""",
+}
