@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import encode, mix, neighbours, split_chunks
+from codequarry.llm import encode, mix, neighbours, sentences, split_chunks
 from codequarry.llm import near_duplicates as near
 from codequarry.session import table
 
@@ -55,7 +55,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p4_nearest, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "sent_end")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence with its place in the text."""
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p4_nearest, p6_ids, p7_mix, p7_shares, p8_found, p8_sentences)}
 #: The others can't be written in SQL; tests/llm holds them against brute force, round trips and held-out accuracy.
 ORACLE: dict[str, str] = {
     "p3_found": """
