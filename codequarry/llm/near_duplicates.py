@@ -101,10 +101,15 @@ def _documents(rows: DataFrame, key: str, file: str, content: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), file_key(F.col(file)).alias("file"), F.col(content).alias("content")).where(F.col("id").isNotNull() & F.col("content").isNotNull())
 
 
-def _pairs_in_lists(posts: DataFrame, token: str) -> DataFrame:
-    """``a, b`` (a < b) for classes posted under one token."""
-    a, b = posts.select(token, F.col("cls").alias("a")), posts.select(token, F.col("cls").alias("b"))
-    return a.join(b, token).where(F.col("a") < F.col("b")).select("a", "b")
+def _pairs_in_lists(posts: DataFrame) -> DataFrame:
+    """``a, b`` (a < b) of classes in one list, with enough collisions and sizes that allow the limit.
+
+    Postings carry their signature, so only pairs that pass leave the join.
+    """
+    side = lambda x: posts.select("token", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+    hits = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    sizes = F.least("na", "nb") >= F.lit(LIMIT) * F.greatest("na", "nb") - 1e-9
+    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & sizes & (hits >= MATCHES)).select("a", "b")
 
 
 def _rare_triple_pairs(sets: DataFrame) -> DataFrame:
@@ -135,12 +140,9 @@ def duplicate_classes(rows: DataFrame, key: str = "id", file: str = "file_path",
     own = F.sort_array(F.collect_list(F.struct("len", "token")))  # at most one for each coordinate
     prefix = shared.groupBy("cls").agg(own.alias("own")).where(F.size("own") >= MATCHES)
     prefix = prefix.select("cls", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("p")).select("cls", "p.*")
-    prefix = cut(prefix)
+    prefix = cut(prefix.join(classes.select("cls", "n", "v"), "cls"))
 
-    pairs = _pairs_in_lists(prefix.where(F.col("len") <= long_list), "token").distinct()
-    sig = lambda name: classes.select(F.col("cls").alias(name), F.col("v").alias(f"v{name}"))
-    hits = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").where(hits >= MATCHES).select("a", "b")
+    pairs = _pairs_in_lists(prefix.where(F.col("len") <= long_list)).distinct()
 
     crowded = prefix.where(F.col("len") > long_list).select("cls").distinct()
     contents = lambda which: _sketch(docs.join(classes.join(which, "cls", "left_semi").select("id"), "id", "left_semi"), sets=True).select("cls", "v").dropDuplicates(["cls"])
