@@ -132,9 +132,9 @@ def duplicate_classes(rows: DataFrame, key: str = "id", file: str = "file_path",
     docs = _documents(rows, key, file, content)
     sketched = cut(_sketch(docs, sets=False))
     members = sketched.select("cls", "id", "file", "n").distinct()
-    classes = sketched.groupBy("cls").agg(F.min(F.struct("id", "n", "v")).alias("one")).select("cls", "one.*")
+    classes = cut(sketched.groupBy("cls").agg(F.min(F.struct("id", "n", "v")).alias("one")).select("cls", "one.*"))
 
-    posts = sketched.select("cls", F.posexplode("v").alias("c", "x")).select("cls", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("x").cast("long")).alias("token")).distinct()
+    posts = classes.select("cls", F.posexplode("v").alias("c", "x")).select("cls", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("x").cast("long")).alias("token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("len")).where(F.col("len") > 1)
     shared = posts.join(lists, "token")
     own = F.sort_array(F.collect_list(F.struct("len", "token")))  # at most one for each coordinate
