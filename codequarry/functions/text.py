@@ -83,8 +83,9 @@ def retry_wait_ms(c: str | Column) -> Column:
 def epoch_ms(value: str | Column) -> Column:
     """Epoch milliseconds of a number in s, ms, us or ns, or of ISO text; 0 for anything else or not positive."""
     c = _col(value).cast("string")
-    n = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(c).try_cast("double"))
-    scaled = F.when(n > 9e15, F.floor(n / 1e6)).when(n > 9e12, F.floor(n / 1e3)).when(n < 1e12, F.floor(n * 1000)).otherwise(F.floor(n))
+    n = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(c).try_cast("decimal(30,3)"))
+    million, thousand = F.lit(1_000_000), F.lit(1_000)
+    scaled = F.when(n > 9e15, F.floor(n / million)).when(n > 9e12, F.floor(n / thousand)).when(n < 1e12, F.floor(n * thousand)).otherwise(F.floor(n))
     iso = F.unix_millis(F.try_to_timestamp(c).cast("timestamp"))
     return F.coalesce(F.when(n > 0, scaled.cast("long")), F.when(n.isNull() & (iso > 0), iso), F.lit(0).cast("long"))
 
