@@ -86,8 +86,8 @@ def epoch_ms(value: str | Column) -> Column:
     n = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(c).try_cast("decimal(30,3)"))
     million, thousand = F.lit(1_000_000), F.lit(1_000)
     scaled = F.when(n > 9e15, F.floor(n / million)).when(n > 9e12, F.floor(n / thousand)).when(n < 1e12, F.floor(n * thousand)).otherwise(F.floor(n))
-    iso = F.unix_millis(F.try_to_timestamp(c).cast("timestamp"))
-    return F.coalesce(F.when(n > 0, scaled.cast("long")), F.when(n.isNull() & (iso > 0), iso), F.lit(0).cast("long"))
+    iso = F.unix_millis(F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(c)).cast("timestamp"))  # a failed parse is slow
+    return F.coalesce(F.when(n > 0, scaled.cast("long")), F.when(n.isNull(), F.greatest(iso, F.lit(0))), F.lit(0).cast("long"))
 
 
 def ulid_ms(c: str | Column) -> Column:

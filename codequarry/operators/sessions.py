@@ -71,13 +71,14 @@ def scalar_at(v: Column, path: str) -> Column:
 
 def first_string(v: Column, paths: Sequence[str]) -> Column:
     """The first string that isn't blank, trimmed."""
-    return F.coalesce(*[F.nullif(fx.strip(string_at(v, p)), F.lit("")) for p in paths])
+    found = F.array_compact(F.array(*[string_at(v, p) for p in paths]))
+    return F.get(F.filter(F.transform(found, lambda x: fx.strip(x)), lambda x: x != ""), F.lit(0))
 
 
 def role(v: Column) -> Column:
     """assistant, user, system or tool, by the first candidate that names one; else null."""
-    found = [F.lower(string_at(v, p)) for p in ROLE_PATHS]
-    return F.coalesce(*[F.when(c.isin(*ROLES), c) for c in found])
+    found = F.transform(F.array(*[string_at(v, p) for p in ROLE_PATHS]), lambda x: F.lower(x))
+    return F.get(F.filter(found, lambda x: x.isin(*ROLES)), F.lit(0))
 
 
 def parts_text(v: Column, path: str, reasoning: bool = False) -> Column:
@@ -102,7 +103,9 @@ def reply_text(v: Column, reasoning: bool = False) -> Column:
 
 def first_time(v: Column, paths: Sequence[str]) -> Column:
     """The first positive time among the candidates, in epoch milliseconds; else 0."""
-    return F.coalesce(*[F.nullif(fx.epoch_ms(scalar_at(v, p)), F.lit(0)) for p in paths], F.lit(0).cast("long"))
+    found = F.array_compact(F.array(*[scalar_at(v, p) for p in paths]))
+    times = F.filter(F.transform(found, lambda x: fx.epoch_ms(x)), lambda t: t > 0)
+    return F.coalesce(F.get(times, F.lit(0)), F.lit(0).cast("long"))
 
 
 def changed_paths(v: Column) -> Column:
@@ -122,7 +125,8 @@ def with_message_fields(messages: DataFrame, payload: str = "payload", position:
     v = F.col("_v")
     m = m.withColumn("role", role(v)).withColumn("reply", reply_text(v)).withColumn("created_ms", first_time(v, TIME_PATHS))
     known = F.coalesce("role", F.lit("unknown"))
-    own = F.coalesce(*[F.nullif(fx.strip(scalar_at(v, p)), F.lit("")) for p in ID_PATHS])
+    ids = F.transform(F.array_compact(F.array(*[scalar_at(v, p) for p in ID_PATHS])), lambda x: fx.strip(x))
+    own = F.get(F.filter(ids, lambda x: x != ""), F.lit(0))
     flat = fx.strip(F.regexp_replace("reply", r"\s+", " "))
     content = F.concat_ws(":", F.lit("content"), known, F.col("created_ms").cast("string"), F.length(flat).cast("string"), F.substring(flat, 1, 400))
     key = F.when(own.isNotNull(), F.concat_ws(":", F.lit("id"), own, fx.fingerprint(known, F.col("reply")))).when(flat != "", content)
