@@ -155,7 +155,7 @@ def extract_symbols(sources: DataFrame, key: str, content: str = "content") -> D
 
 def class_members(symbols: DataFrame, key: str) -> DataFrame:
     """``key, source, target``: the ``contains`` edges from a class to its methods."""
-    m = symbols.where((F.col("kind") != "class") & F.col("qualified_name").contains("."))
+    m = symbols.where(F.col("kind").isin("function", "method") & F.col("qualified_name").contains("."))
     return m.select(key, F.substring_index("qualified_name", ".", 1).alias("source"), F.col("qualified_name").alias("target")).distinct()
 
 
@@ -193,18 +193,18 @@ def extract_references(sources: DataFrame, symbols: DataFrame, key: str, content
     return found.where(F.col("inside").isNotNull() & (F.col("inside") != F.col("target"))).select(key, "line", "kind", F.col("inside").alias("source"), "target").distinct()
 
 
-def joined_path(folder: Column, relative: Column) -> Column:
-    """``folder/relative`` without ``.`` and ``..`` steps."""
-    steps = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda s: (s != "") & (s != "."))
+def joined_path(file: Column, relative: Column) -> Column:
+    """The relative path seen from the folder of the file, without ``.`` and ``..`` steps."""
+    steps = F.filter(F.split(F.concat_ws("/", F.regexp_replace(file, "[^/]*$", ""), relative), "/"), lambda s: (s != "") & (s != "."))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
-    return F.concat(F.when(folder.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(walked, "/"))
+    return F.concat(F.when(file.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(walked, "/"))
 
 
 def normal_import(path: str | Column, source_file: str | Column) -> Column:
     """An import path without its query; relative ones joined to the folder of the file. Packages stay as they are."""
     p = F.regexp_replace(F.col(path) if isinstance(path, str) else path, r"(?s)[?#].*$", "")
     f = F.col(source_file) if isinstance(source_file, str) else source_file
-    return F.when(p.startswith("."), joined_path(F.regexp_replace(f, "/[^/]*$", ""), p)).otherwise(p)
+    return F.when(p.startswith("."), joined_path(f, p)).otherwise(p)
 
 
 #: What may be missing at the end of an import path, in the order in which it is tried.

@@ -267,7 +267,7 @@ ORACLE = {
     "extract_symbols": "SELECT DISTINCT id, CAST(line AS INTEGER) AS line, kind, name, qualified_name, is_exported FROM (" + _symbols("id", _LINES) + ")",
     "extract_symbols_declared": _symbols("file_path", _DECLARED),
     "class_members": f"""SELECT DISTINCT file_path, split_part(qualified_name, '.', 1) AS source, qualified_name AS target
-      FROM ({_symbols('file_path', _DECLARED)}) WHERE kind <> 'class' AND contains(qualified_name, '.')""",
+      FROM ({_symbols('file_path', _DECLARED)}) WHERE kind IN ('function', 'method') AND contains(qualified_name, '.')""",
     "asof_symbol": """SELECT u.file_path, u.line, u.reference_kind,
       (SELECT max_by(n.qualified_name, (n.start_line, n.qualified_name)) FROM graph_nodes n WHERE n.file_path = u.file_path AND n.start_line <= u.line) AS inside
       FROM (SELECT DISTINCT file_path, line, reference_kind FROM unresolved_refs WHERE file_path IS NOT NULL AND line IS NOT NULL) u""",
