@@ -29,8 +29,7 @@ def _col(c: str | Column) -> Column:
 def tokens(text: str | Column) -> Column:
     """Lower-case words of a-z, 0-9 and _ over one character, without stop words. Null gives an empty array."""
     flat = F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^a-z0-9\s_]", " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(flat, r"\s+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(flat, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def query_tokens(text: str) -> list[str]:

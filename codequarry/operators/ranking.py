@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import query_tokens, tokens
+from codequarry.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -46,14 +47,15 @@ def _counted(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFram
 def bm25_scores(docs: DataFrame, key: str, text: str, query: str, *, k1: float = K1, b: float = B) -> DataFrame:
     """``key, score`` of every document with a positive score.
 
-    A term repeated in the query counts repeatedly; a query without terms gives no row. One pass gathers the corpus numbers
-    (combined before the shuffle), another scores; no postings move. Repeated documents count as documents of their own.
+    A term repeated in the query counts repeatedly; a query without terms gives no row. Texts are read once, into lengths and
+    counts; the corpus numbers are combined before their shuffle, and no postings move. Repeated documents count as documents
+    of their own.
     """
     asked = query_tokens(query)
     terms = sorted(set(asked))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    counted = _counted(docs, key, text, terms)
+    counted = cut(_counted(docs, key, text, terms))
     row = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"d{i}") for i in range(len(terms))]).first()
     corpus = Corpus(row.n, row.mean or 1.0, tuple(row[f"d{i}"] for i in range(len(terms))))
     score: Column = F.lit(0.0)

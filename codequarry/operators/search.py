@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.operators.ranking import bm25_scores, top
@@ -84,8 +84,9 @@ def summary_search(chunks: DataFrame, o: SearchOptions, weight: float = 0.3) ->
     return _finish(near.select("id", ((1 - F.col("dist")) * (1 - weight) + F.col("sim") * weight).alias("score")), o)
 
 
-def _by_best(score: Column | str, best: Column | str) -> Column:
-    return F.coalesce(F.try_divide(F.col(score) if isinstance(score, str) else score, F.col(best) if isinstance(best, str) else best), F.lit(0.0))
+def _held(short: DataFrame) -> DataFrame:
+    """A list that a limit bounds, computed once."""
+    return short.sparkSession.createDataFrame(short.collect(), short.schema)
 
 
 def hybrid_search(chunks: DataFrame, related: DataFrame, o: SearchOptions) -> DataFrame:
@@ -96,8 +97,8 @@ def hybrid_search(chunks: DataFrame, related: DataFrame, o: SearchOptions) -> Da
     """
     own = filtered(chunks, o)
     k = o.limit * 5
-    words = top(bm25_scores(own, "id", "content", o.text).groupBy("id").agg(F.max("score").alias("score")), "id", k)
-    near = vector_search(chunks, o, k)
+    words = _held(top(bm25_scores(own, "id", "content", o.text).groupBy("id").agg(F.max("score").alias("score")), "id", k))
+    near = _held(vector_search(chunks, o, k))
     best_w = (words.agg(F.max("score").alias("m")).first().m or 1.0) if o.text else 1.0
     ends = near.agg(F.max("score").alias("hi"), F.min("score").alias("lo")).first()
     best_v = (ends.lo if o.semantics == "as_coded" else ends.hi) or 1.0

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as fx
 from codequarry.operators import code, index
-from codequarry.session import table
+from codequarry.session import spread, table
 
 CUTOFF = "2025-10-01"
 
 
 def _sources(spark, d):
-    return table(spark, d, "code_chunks").select("id", "language", "content")
+    return spread(table(spark, d, "code_chunks").select("id", "language", "content"))
 
 
 def _statements(spark, d, family: str):
@@ -159,7 +159,7 @@ def deleted_file_graph(spark, d):
 
 
 def embed_local_slots(spark, d):
-    return index.local_embedding(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return index.local_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 def embed_local_topk(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.text import STOP_WORDS, tokens
 from codequarry.operators import graph, ranking, search
 from codequarry.operators.search import SearchOptions
-from codequarry.session import table
+from codequarry.session import spread, table
 
 QUERY = "vector cache driver cache parser"
 CODE_QUERY = "render buffer query metric cache"
@@ -19,6 +19,10 @@ ASKED = SearchOptions(text=CODE_QUERY, vector=VECTOR, limit=20)
 WITH_SUMMARY = replace(ASKED, summary=True, bm25_weight=0.25, vector_weight=0.35, graph_weight=0.15, summary_weight=0.25)
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "code_chunks").drop("summary", "metadata", "file_hash"))
+
+
 def _related(spark: SparkSession, d: str) -> DataFrame:
     return graph.related_names(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"))
 
@@ -28,15 +32,15 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def tokenize_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.array_join(tokens("text"), " ").alias("words"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.array_join(tokens("text"), " ").alias("words"))
 
 
 def term_df(spark, d):
-    return ranking.document_frequency(table(spark, d, "documents"), "text")
+    return ranking.document_frequency(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
 
 
 def term_tf(spark, d):
-    return ranking.postings(table(spark, d, "documents"), "doc_id", "text")
+    return ranking.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def bm25_idf(spark, d):
@@ -46,11 +50,11 @@ def bm25_idf(spark, d):
 
 
 def bm25_topk(spark, d):
-    return _rounded(ranking.top(ranking.bm25_scores(table(spark, d, "documents"), "doc_id", "text", QUERY), "doc_id", 20))
+    return _rounded(ranking.top(ranking.bm25_scores(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", QUERY), "doc_id", 20))
 
 
 def bm25_scores_all(spark, d):
-    return _rounded(ranking.bm25_scores(table(spark, d, "documents"), "doc_id", "text", QUERY))
+    return _rounded(ranking.bm25_scores(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", QUERY))
 
 
 def vector_topk_l2(spark, d):
@@ -67,36 +71,36 @@ def vector_topk_cosine(spark, d):
 
 def vector_topk_filtered(spark, d):
     o = replace(ASKED, language="python", path_prefix="/srv/", chunk_types=("function", "class"), semantics="as_coded")
-    return _rounded(search.vector_search(table(spark, d, "code_chunks"), o))
+    return _rounded(search.vector_search(_chunks(spark, d), o))
 
 
 def vector_summary_topk(spark, d):
-    return _rounded(search.summary_search(table(spark, d, "code_chunks"), ASKED))
+    return _rounded(search.summary_search(_chunks(spark, d), ASKED))
 
 
 def graph_boost_topk(spark, d):
-    return _rounded(search.graph_boost_search(table(spark, d, "code_chunks"), _related(spark, d), ASKED))
+    return _rounded(search.graph_boost_search(_chunks(spark, d), _related(spark, d), ASKED))
 
 
 def graph_boost_as_coded(spark, d):
-    return _rounded(search.graph_boost_search(table(spark, d, "code_chunks"), _related(spark, d), replace(ASKED, semantics="as_coded")))
+    return _rounded(search.graph_boost_search(_chunks(spark, d), _related(spark, d), replace(ASKED, semantics="as_coded")))
 
 
 def hybrid_topk(spark, d):
-    return _rounded(search.hybrid_search(table(spark, d, "code_chunks"), _related(spark, d), ASKED))
+    return _rounded(search.hybrid_search(_chunks(spark, d), _related(spark, d), ASKED))
 
 
 def hybrid_as_coded(spark, d):
-    return _rounded(search.hybrid_search(table(spark, d, "code_chunks"), _related(spark, d), replace(ASKED, semantics="as_coded")))
+    return _rounded(search.hybrid_search(_chunks(spark, d), _related(spark, d), replace(ASKED, semantics="as_coded")))
 
 
 def hybrid_summary_topk(spark, d):
-    return _rounded(search.hybrid_search(table(spark, d, "code_chunks"), _related(spark, d), WITH_SUMMARY))
+    return _rounded(search.hybrid_search(_chunks(spark, d), _related(spark, d), WITH_SUMMARY))
 
 
 def search_modes(spark, d):
     """One question in every mode."""
-    chunks, related = table(spark, d, "code_chunks"), _related(spark, d)
+    chunks, related = _chunks(spark, d), _related(spark, d)
     out = None
     for mode in search.MODES:
         part = _rounded(search.search(chunks, related, replace(ASKED, mode=mode))).withColumn("mode", F.lit(mode))

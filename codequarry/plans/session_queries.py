@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as fx
 from codequarry.operators import index, sessions
-from codequarry.session import table
+from codequarry.session import spread, table
 from codequarry.streaming import operators as streams
 
 HALF = "2024-01-15"
@@ -17,7 +17,7 @@ HALF = "2024-01-15"
 
 def _messages(spark, d):
     """A message for each event: session, position, and a payload in one of four forms."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"))
     role = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in (("view", "user"), ("click", "assistant"), ("error", "tool"), ("purchase", "system"))], F.lit("guest"))
     said = F.when(F.col("event_id") % 10 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  event  "), F.col("event_id").cast("string"), F.lit(" of "), F.col("event_type"), F.lit(" ")))
     part = lambda t, **kw: F.struct(F.lit(t).alias("type"), *[v.alias(k) for k, v in kw.items()])
