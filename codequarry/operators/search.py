@@ -92,13 +92,13 @@ def _held(short: DataFrame) -> DataFrame:
 def hybrid_search(chunks: DataFrame, related: DataFrame, o: SearchOptions) -> DataFrame:
     """Weighted sum of BM25, vector and graph parts (and the summary's cosine), over all filtered chunks; positive ones only.
 
-    BM25 and vector parts come from their limit * 5 best chunks, divided by the best score; others have 0. Those two short
+    Without a query vector the vector part is 0. BM25 and vector parts come from their limit * 5 best chunks, divided by the best score; others have 0. Those two short
     lists are joined to the chunks, so nothing wide moves.
     """
     own = filtered(chunks, o)
     k = o.limit * 5
     words = _held(top(bm25_scores(own, "id", "content", o.text).groupBy("id").agg(F.max("score").alias("score")), "id", k))
-    near = _held(vector_search(chunks, o, k))
+    near = _held(vector_search(chunks, o, k)) if len(o.vector) else words.limit(0)
     best_w = (words.agg(F.max("score").alias("m")).first().m or 1.0) if o.text else 1.0
     ends = near.agg(F.max("score").alias("hi"), F.min("score").alias("lo")).first()
     best_v = (ends.lo if o.semantics == "as_coded" else ends.hi) or 1.0
