@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codequarry.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The word pattern of the vocabulary. White space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -138,12 +140,6 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
     return ids[token_at + shift], total[words_before]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the session has cores, for work that is heavy for each byte read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _flushes(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for b in batches:
@@ -177,8 +173,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, voc
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", *, vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
-    """The columns ``keep`` and the number of tokens of each row's text; nulls count 0."""
-    src = spread(df.select(*keep, F.col(text).alias("__text")))
+    """The columns ``keep`` and the number of tokens of each row's text; nulls count 0. Rows stay in their partitions."""
+    src = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*src.drop("__text").schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,9 @@ def usable_texts(documents: DataFrame, targets: DataFrame, *, vocabulary: str =
     docs = documents.select("doc_id", source_label("source").alias("source"), "text").where(F.char_length("text") > 0)
     docs = docs.join(wanted, "source", "left_semi")
     once = docs.withColumn("h", F.sha2("text", 256)).groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("first"))
+    spark = documents.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs = docs.repartition(parts, "doc_id", "source")  # the join's own shuffle, in as many parts as the encoding needs
     docs = docs.join(once.select("first.doc_id", "first.source", "h"), ["doc_id", "source"])
     docs = docs.where(F.sha2("text", 256) == F.col("h"))
     sized = count_tokens(docs.withColumn("quality", quality("text")), ["doc_id", "source", "h", "quality"], vocabulary=vocabulary)
