@@ -147,8 +147,8 @@ def build_index(classes: DataFrame) -> tuple[dict[str, MultiIndex], DataFrame]:
         part = classes.where(F.col("field") == field)
         if n > SAMPLE:
             part = part.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
-        sample = part.select("v").limit(2 * SAMPLE).toArrow().column("v")
-        index[field] = MultiIndex(_unpacked(sample.combine_chunks(), np.float32), n)
+        sample = _unpacked(part.select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks(), np.float32)
+        index[field] = MultiIndex(sample[np.lexsort(sample[:, :8].T)], n)  # in an order of its own, so equal data fit alike
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
