@@ -67,7 +67,24 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p4_nearest, p6_ids, p7_mix, p7_shares, p8_found, p8_sentences)}
 #: The others can't be written in SQL; tests/llm holds them against brute force, round trips and held-out accuracy.
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+      WITH docs AS (SELECT DISTINCT id, regexp_replace(replace(file_path, '\', '/'), '/(\.?/)+', '/', 'g') AS f,
+          list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w
+        FROM code_chunks WHERE content IS NOT NULL AND id IS NOT NULL),
+      t AS (SELECT DISTINCT id, f, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT id, f, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+      n AS (SELECT id, f, count(*) AS n FROM t GROUP BY 1, 2),
+      met AS (SELECT a.id AS ia, a.f AS fa, b.id AS ib, b.f AS fb, count(*) AS c FROM t a JOIN t b ON b.x = a.x AND a.id < b.id AND a.f <> b.f GROUP BY 1, 2, 3, 4)
+      SELECT DISTINCT ia AS id_a, ib AS id_b FROM met JOIN n a ON a.id = ia AND a.f = fa JOIN n b ON b.id = ib AND b.f = fb
+      WHERE c / (a.n + b.n - c) >= 0.6""",
     "p3_found": """
       SELECT DISTINCT id FROM code_chunks JOIN chunk_config USING (project_path)
       WHERE length(content) > max_chunk_size AND id IS NOT NULL""",
+    "p4_found": """
+      WITH raw AS (SELECT DISTINCT 'vector' AS field, id, vector::DOUBLE[] AS v FROM code_chunks
+        UNION SELECT 'summary_vector_json', id, try_cast(CASE WHEN json_valid(summary_vector_json) THEN summary_vector_json END AS DOUBLE[]) FROM code_chunks),
+      use AS (SELECT field, id, v FROM raw WHERE id IS NOT NULL AND len(v) = 64
+        AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      near AS (SELECT a.field, a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS c FROM use a JOIN use b ON b.field = a.field AND b.id <> a.id
+        QUALIFY row_number() OVER (PARTITION BY a.field, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 10)
+      SELECT DISTINCT field AS vec_field, least(i, j) AS id_a, greatest(i, j) AS id_b FROM near WHERE c >= 0.9""",
 }
