@@ -171,7 +171,7 @@ ORACLE = {
       AND NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.target = n.id AND e.kind = 'calls')""",
     "files_importing": "SELECT DISTINCT source_file FROM dependency_graph WHERE contains(target_file, 'cache') OR contains(coalesce(import_name, ''), 'cache')",
     "file_dependencies": """WITH p AS (SELECT DISTINCT source_file, target_file FROM dependency_graph WHERE source_file <> '' AND target_file <> '')
-      SELECT file, sum(o) AS n_dependencies, sum(i) AS n_dependents FROM (
+      SELECT file, CAST(sum(o) AS BIGINT) AS n_dependencies, CAST(sum(i) AS BIGINT) AS n_dependents FROM (
         SELECT source_file AS file, 1 AS o, 0 AS i FROM p UNION ALL SELECT target_file, 0, 1 FROM p) GROUP BY 1""",
     "dependencies": """SELECT DISTINCT target_file FROM dependency_graph WHERE source_file =
       (SELECT source_file FROM dependency_graph WHERE source_file <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
