@@ -24,7 +24,7 @@ from codequarry.session import cut
 SIZE = 64
 HALF = SIZE // 2
 SAMPLE = 16_384  #: vectors a field that the quantisers are fitted on
-CELL_ROWS = 64  #: rows a cell that K is chosen for
+CELL_ROWS = 128  #: rows a cell that K is chosen for
 MOST_CENTROIDS = 1024  #: of a half
 PROBES = 12  #: non-empty cells a query reaches at least
 BLOCK = 4096  #: entries of a cell that one task holds at once
