@@ -27,6 +27,7 @@ SAMPLE = 16_384  #: vectors a field that the quantisers are fitted on
 CELL_ROWS = 128  #: rows a cell that K is chosen for
 MOST_CENTROIDS = 1024  #: of a half
 PROBES = 12  #: non-empty cells a query reaches at least
+LEAST = 4096  #: entries that a query without a floor is compared with at least
 BLOCK = 4096  #: entries of a cell that one task holds at once
 SLACK = 0.01  #: by how much the cosine of rounded vectors may be too low
 
@@ -164,7 +165,7 @@ def build_index(classes: DataFrame) -> tuple[dict[str, MultiIndex], DataFrame]:
     return index, placed
 
 
-def _ship(index: dict[str, MultiIndex], probes: int, share: float):
+def _ship(index: dict[str, MultiIndex], probes: int, share: float, least: int):
     """Queries as a row for each block of each cell they reach, rounded to 8 bits a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _ship(index: dict[str, MultiIndex], probes: int, share: float):
                 for f in sorted(set(fields.tolist())):
                     rows = np.flatnonzero(fields == f)
                     mine = index[f]
-                    walks = mine.walk(x[rows], probes, math.ceil(share * sum(mine.counts.values())))
+                    walks = mine.walk(x[rows], probes, max(least, math.ceil(share * sum(mine.counts.values()))))
                     goes = [(r, c, k) for r, cells in zip(rows.tolist(), walks) for c in cells for k in range(-(-mine.counts[c] // BLOCK))]
                     if goes:
                         at, cell, block = (np.array(v) for v in zip(*goes))
@@ -244,7 +245,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("field"), b.column("a"), b.column("b"), pa.array(cos)], names=["field", "a", "b", "cosine"])
 
 
-def class_neighbours(placed: DataFrame, queries: DataFrame, index: dict[str, MultiIndex], *, k: int, floor: float = -1.0, probes: int = PROBES, share: float = 0.0) -> DataFrame:
+def class_neighbours(placed: DataFrame, queries: DataFrame, index: dict[str, MultiIndex], *, k: int, floor: float = -1.0, probes: int = PROBES, share: float = 0.0, least: int = 0) -> DataFrame:
     """``field, a, b, cosine``: for query classes ``a`` their near classes ``b``, reranked by exact cosine.
 
     Without a floor these are the k nearest of the cells reached. With one, all pairs at or above it are kept, in both
@@ -256,7 +257,7 @@ def class_neighbours(placed: DataFrame, queries: DataFrame, index: dict[str, Mul
     entries = entries.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     layout = "field string, cell int, block int, tag tinyint, cls binary, v binary"
     entries = entries.select("field", "cell", "block", F.lit(0).cast("tinyint").alias("tag"), "cls", "v").mapInArrow(_halves, layout)
-    shipped = queries.select("field", "cls", "v").mapInArrow(_ship(index, probes, share), layout)
+    shipped = queries.select("field", "cls", "v").mapInArrow(_ship(index, probes, share, least), layout)
     both = entries.unionByName(shipped).repartition("field", "cell", "block").sortWithinPartitions("field", "cell", "block", "tag")
     hits = both.mapInArrow(_scan(k + 6, floor), "field string, a binary, b binary, near float")
     if floor > -1:
@@ -305,15 +306,15 @@ def close_pairs(chunks: DataFrame, *, k: int = 10, floor: float = 0.9, probes: i
     return found.select(F.col("field").alias("vec_field"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def nearest_ids(chunks: DataFrame, asked: Column, *, k: int = 10, share: float = 0.12) -> DataFrame:
+def nearest_ids(chunks: DataFrame, asked: Column, *, k: int = 10, share: float = 0.12, least: int = LEAST) -> DataFrame:
     """``vec_field, id, other, cosine, rank``: the k nearest others of the ids that ``asked`` holds for, among all rows.
 
-    ``share`` is the part of all entries that a query's walk reaches; at 0.12 the recall measured against brute force is
-    above 0.9 (tests/llm).
+    A query's walk reaches the part ``share`` of all entries and ``least`` of them, whichever is more: a share alone is too
+    little where there are few cells. The README has the recall against brute force by field and size.
     """
     members, classes = _prepared(chunks)
     index, placed = build_index(classes)
     mine = members.where(asked)
     queries = placed.join(mine.select("field", "cls").distinct(), ["field", "cls"], "left_semi")
-    near = class_neighbours(placed, queries, index, k=k, share=share)
+    near = class_neighbours(placed, queries, index, k=k, share=share, least=least)
     return nearest(members, near, mine, k).select(F.col("field").alias("vec_field"), "id", "other", F.round("cosine", 6).alias("cosine"), "rank")

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import neighbours as nb
 
+TABLES = "/root/testdata/sf0.1"
 SCHEMA = "id string, vector array<float>, summary_vector_json string, cls string, field string"
 
 
@@ -47,6 +49,28 @@ def test_recall_against_brute_force(spark, vectors):
     assert len(rows) == 10 * len({r.id for r in rows}) and hits >= 0.9 * len(rows)
 
 
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables here")
+def test_recall_with_far_more_cells_than_probes(spark):
+    chunks = spark.read.parquet(f"{TABLES}/code_chunks.parquet")
+    asked = F.pmod(F.xxhash64("id"), F.lit(50)) == 0
+    rows = nb.nearest_ids(chunks, asked).collect()
+    held = nb.usable_vectors(chunks).select("field", "id", "v").collect()
+    for field in ("vector", "summary_vector_json"):
+        ids, x = np.array([r.id for r in held if r.field == field]), np.array([np.frombuffer(r.v, np.float32) for r in held if r.field == field])
+        lists, hits, want = {}, 0, 0
+        for r in rows:
+            if r.vec_field == field:
+                lists.setdefault(r.id, []).append(r.cosine)
+        for name, found in lists.items():
+            cos, best = (x[ids == name] @ x.T).max(0), {}
+            for j in np.argsort(-cos)[:60]:
+                if ids[j] != name:
+                    best[ids[j]] = max(best.get(ids[j], -2), cos[j])
+            true = sorted(best.values())[-10:]
+            hits, want = hits + sum(c >= true[0] - 2e-6 for c in found), want + len(true)
+        assert nb.MultiIndex(x, len(x)).k ** 2 >= 3 * nb.PROBES and want > 500 and hits >= 0.95 * want
+
+
 def test_usable_values_and_ties(spark):
     one = [1.0] + [0.0] * 63
     text = json.dumps([2] + [0.0] * 63)
