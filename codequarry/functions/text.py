@@ -67,6 +67,11 @@ def normal_path(c: str | Column) -> Column:
     return F.when(p == "", F.lit(None)).when(cut == "", F.lit("/")).otherwise(cut)
 
 
+def one_spelling(c: str | Column) -> Column:
+    """Spellings of one path made equal: ``\\`` is ``/``, ``//`` and ``/./`` are ``/``."""
+    return F.regexp_replace(F.regexp_replace(_col(c), r"\\", "/"), r"/(?:\.?/)+", "/")
+
+
 def path_id(c: str | Column) -> Column:
     """The first 16 hex digits of the sha256 of the lower-cased path."""
     return F.substring(F.sha2(F.lower(_col(c)), 256), 1, 16)

@@ -49,13 +49,31 @@ def family(language: str | Column) -> Column:
 
 
 def source_lines(sources: DataFrame, keys: list[str], content: str, keep: str | None = None) -> DataFrame:
-    """``keys, line, text``: the lines of each content, counted from 1; only those that match ``keep``. Null has none."""
+    """``keys, line, text``: the lines of each content, counted from 1; only those that match ``keep``. Null has none.
+
+    Sources without a content column are lines already (``keys, line, text``) and keep their numbers, so a large source need
+    not be one row.
+    """
+    if content not in sources.columns:
+        rows = sources if keep is None else sources.where(F.col("text").rlike(keep))
+        return rows.select(*keys, "line", "text")
     lines = F.transform(F.split(content, "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
     if keep is not None:
         lines = F.filter(lines, lambda x: x["text"].rlike(keep))
     return sources.select(*keys, F.explode(lines).alias("l")).select(*keys, "l.line", "l.text")
 
 
+def chunk_lines(chunks: DataFrame, key: str, start: str = "start_line", content: str = "content") -> DataFrame:
+    """``key, line, text``: the lines of chunks by their place in the file that ``key`` names.
+
+    A chunk without a start begins at 1. A line in several chunks has as many rows; readers take equal ones once, and those
+    that differ in order of text.
+    """
+    first = F.coalesce(F.col(start), F.lit(1)).cast("int") - 1
+    rows = source_lines(chunks.withColumn("_first", first), [key, "_first"], content)
+    return rows.select(key, (F.col("_first") + F.col("line")).alias("line"), "text")
+
+
 def _names(text: Column) -> Column:
     parts = F.transform(F.split(F.regexp_replace(text, r"[(){}]", ""), ","), lambda n: strip(n))
     return F.filter(parts, lambda n: (n != "") & (n != "*"))

@@ -98,10 +98,10 @@ def asof_symbol(spark, d):
 
 
 def extract_references(spark, d):
-    """Calls in a chunk that name a function of the same file."""
-    c = table(spark, d, "code_chunks").where(F.col("content").isNotNull()).select("file_path", "id", "content").distinct()
-    whole = c.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("l")).select("file_path", F.array_join("l.content", "\n").alias("content"))
-    return code.extract_references(whole, code.extract_symbols(whole, "file_path"), "file_path")
+    """References in a file to its own symbols: the chunks of all spellings of its path, each line at its place."""
+    c = table(spark, d, "code_chunks").select(fx.one_spelling("file_path").alias("file_path"), "start_line", "content")
+    lines = code.chunk_lines(spread(c), "file_path")
+    return code.extract_references(lines, code.extract_symbols(lines, "file_path"), "file_path")
 
 
 def normalize_import_path(spark, d):

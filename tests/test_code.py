@@ -4,6 +4,7 @@ import pytest
 
 from codequarry.operators import code as c
 from codequarry.operators import graph as g
+from codequarry.plans import code_queries
 
 
 def frame(spark, language, *lines):
@@ -74,6 +75,16 @@ def test_symbols_and_references(spark):
     assert refs == {(3, "extends", "Shop", "Base"), (5, "calls", "Shop.sell", "helper"), (11, "instantiates", "helper", "Shop")}
 
 
+def test_references_of_a_file_in_chunks(spark, tmp_path):
+    rows = [
+        ("z", "/p/./a.ts", 1, "class Shop {\n  sell(item) {"), ("c", "/p//a.ts", 3, "    helper(item);\n  }"), ("a", "\\p\\a.ts", 5, "}\nfunction helper(x) {\n  return new Shop(x);"),
+        ("b", "/p/a.ts", 7, "  return new Shop(x);\n}"), ("d", "/p/b.ts", 1, "function alone(x) {\n  helper(x);"), ("e", "/p/b.ts", 3, None),
+    ]
+    spark.createDataFrame(rows, "id string, file_path string, start_line int, content string").write.parquet(str(tmp_path / "code_chunks.parquet"))
+    got = sorted(tuple(r) for r in code_queries.extract_references(spark, str(tmp_path)).collect())
+    assert got == [("/p/a.ts", 3, "calls", "Shop.sell", "helper"), ("/p/a.ts", 7, "instantiates", "helper", "Shop")]
+
+
 PATHS = [("./utils", "/src/components/Button.tsx", "/src/components/utils"), ("../a/./b?x=1", "/src/c/d.ts", "/src/a/b"), ("react", "/a.ts", "react"), ("./u#h", "/a.ts", "/u"), ("../../../x", "/a/b.ts", "/x")]
 
 
