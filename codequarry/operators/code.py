@@ -193,7 +193,8 @@ def containing_symbol(marks: DataFrame, symbols: DataFrame, key: str) -> DataFra
 def extract_references(sources: DataFrame, symbols: DataFrame, key: str, content: str = "content") -> DataFrame:
     """``key, line, kind, source, target``: calls, ``new X(`` and ``extends X`` that name a symbol of the same source.
 
-    Source is the symbol that holds the line; a reference to itself is dropped. Names are whole words, so the join is an
+    Source is the symbol that holds the line, target the first symbol of the name, of whatever kind, if one of them is a
+    function or method (for calls) or a class; a reference to itself is dropped. Names are whole words, so the join is an
     equi-join. Only the first ``new`` and ``extends`` of a line count.
     """
     lines = source_lines(sources, [key], content, r"\w\(|\bnew\s|\bextends\s").distinct()
@@ -203,9 +204,10 @@ def extract_references(sources: DataFrame, symbols: DataFrame, key: str, content
     one = lambda p, kind: F.array_compact(F.array(F.when(t.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(t, p, 1).alias("name")))))
     refs = F.concat(F.transform(called, lambda n: F.struct(F.lit("calls").alias("kind"), n.alias("name"))), one(r"\bnew\s+(\w+)\s*\(", "instantiates"), one(r"\bextends\s+(\w+)", "extends"))
     refs = lines.select(key, "line", F.explode(refs).alias("r")).select(key, "line", "r.kind", "r.name")
-    groups = F.when(F.col("kind").isin("function", "method"), F.array(F.lit("calls"))).when(F.col("kind") == "class", F.array(F.lit("instantiates"), F.lit("extends")))
-    targets = symbols.where(F.col("kind").isin("function", "method", "class")).select(key, "name", F.explode(groups).alias("kind"), F.struct("line", "qualified_name").alias("q"))
-    targets = targets.groupBy(key, "name", "kind").agg(F.min("q").alias("q")).select(key, "name", "kind", F.col("q.qualified_name").alias("target"))
+    has = lambda *kinds: F.max(F.col("kind").isin(*kinds))
+    targets = symbols.groupBy(key, "name").agg(F.min(F.struct("line", "qualified_name")).alias("q"), has("function", "method").alias("f"), has("class").alias("c"))
+    groups = F.array_compact(F.array(F.when(F.col("f"), "calls"), F.when(F.col("c"), "instantiates"), F.when(F.col("c"), "extends")))
+    targets = targets.select(key, "name", F.explode(groups).alias("kind"), F.col("q.qualified_name").alias("target"))
     known = refs.join(targets, [key, "name", "kind"])
     found = containing_symbol(known.select(key, "line", "kind", "target"), symbols, key)
     return found.where(F.col("inside").isNotNull() & (F.col("inside") != F.col("target"))).select(key, "line", "kind", F.col("inside").alias("source"), "target").distinct()

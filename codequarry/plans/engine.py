@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from codequarry.operators import code, graph, hierarchy, index, providers, search
 from codequarry.operators.search import SearchOptions
@@ -38,16 +39,21 @@ class CodeIndex:
 
     def _replace(self, project: str, sources: DataFrame, paths: DataFrame, summaries: bool) -> None:
         sources, paths = cut(sources), cut(paths.distinct())
-        symbols = code.extract_symbols(sources, "file_path")
+        symbols = code.extract_symbols(sources, "file_path").distinct()
+        nth = F.row_number().over(W.partitionBy("file_path", "qualified_name", "kind", "line").orderBy("name", "is_exported"))
         named = lambda name: F.sha2(F.concat_ws("\n", F.lit(project), F.col("file_path"), name), 256)
+        symbols = symbols.withColumn("id", named(F.concat_ws("\n", "qualified_name", "kind", F.col("line").cast("string"), nth.cast("string"))))
+        by_id = symbols.withColumn("qualified_name", F.col("id")).drop("id")  # so references are between symbols, not names
         lang = sources.select("file_path", "language")
         nodes = symbols.join(lang, "file_path").select(
-            named("qualified_name").alias("id"), "kind", "name", "qualified_name", "file_path", "language", F.col("line").alias("start_line"),
+            "id", "kind", "name", "qualified_name", "file_path", "language", F.col("line").alias("start_line"),
             F.col("line").alias("end_line"), F.lit(0).alias("start_column"), F.lit(0).alias("end_column"), "is_exported",
             F.lit(project).alias("project_path"), F.lit("{}").alias("metadata"),
-        ).dropDuplicates(["id"])
-        refs = code.extract_references(sources, symbols, "file_path").unionByName(code.class_members(symbols, "file_path").select("file_path", F.lit(None).cast("int").alias("line"), F.lit("contains").alias("kind"), "source", "target"))
-        edges = refs.select(named("source").alias("source"), named("target").alias("target"), "kind", F.lit(project).alias("project_path"), F.lit("{}").alias("metadata"), "line")
+        )
+        members = symbols.where(F.col("kind").isin("function", "method") & F.col("qualified_name").contains(".")).select("file_path", "line", F.col("id").alias("target"))
+        held = code.containing_symbol(members, by_id.where(F.col("kind") == "class"), "file_path").select("file_path", F.lit(None).cast("int").alias("line"), F.lit("contains").alias("kind"), F.col("inside").alias("source"), "target")
+        refs = code.extract_references(sources, by_id, "file_path").unionByName(held)
+        edges = refs.select("source", "target", "kind", F.lit(project).alias("project_path"), F.lit("{}").alias("metadata"), "line")
         chunks = index.chunk_sources(sources, "file_path", "content", self.chunk_words).join(sources.select("file_path", "language", "file_hash"), "file_path")
         place = chunks.withColumn("line", F.col("end_line"))
         own = code.containing_symbol(place, symbols, "file_path").drop("line").withColumnRenamed("inside", "fqn")

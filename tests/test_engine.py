@@ -37,6 +37,23 @@ def test_index_search_and_graph(spark, tmp_path):
     assert ix.store.read("code_chunks").count() == 0 and ix.stats("p").count() == 0
 
 
+def test_a_node_for_each_symbol(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    text = "interface Shop {\n}\nexport class Shop {\n  sell(a) {\n  }\n  sell(a, b) {\n}\nfunction f(a) {\n}\nfunction f(a, b) {\n  new Shop(a);\n  f(a);\n}\nimport { a } from './m'\nimport b from './m'\n"
+    (root / "a.ts").write_text(text)
+    ix = CodeIndex(spark, str(tmp_path / "store"))
+    ix.index_path(str(root), "p")
+    nodes = {r.id: (r.kind, r.qualified_name, r.start_line, r.is_exported) for r in ix.nodes_by_file("a.ts").collect()}
+    assert sorted(nodes.values()) == [
+        ("class", "Shop", 3, True), ("function", "f", 8, False), ("function", "f", 10, False), ("import", "./m", 14, False), ("import", "./m", 15, False),
+        ("interface", "Shop", 1, False), ("method", "Shop.sell", 4, False),
+    ]
+    edges = {(r.kind, nodes[r.source][:3], nodes[r.target][:3]) for r in ix.store.read("graph_edges").collect()}
+    first, second = ("function", "f", 8), ("function", "f", 10)
+    assert edges >= {("instantiates", second, ("interface", "Shop", 1)), ("calls", second, first), ("contains", ("class", "Shop", 3), ("method", "Shop.sell", 4))}
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([("a", "abc"), ("b", None), ("c", " ")], "id string, t string")
     got = {r.id: r.v for r in providers.embed(rows, "t", "v", letters, batch=2).collect()}
