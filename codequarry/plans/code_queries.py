@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from codequarry.functions import text as fx
 from codequarry.operators import code, index
@@ -15,8 +16,14 @@ def _sources(spark, d):
     return spread(table(spark, d, "code_chunks").select("id", "language", "content"))
 
 
+def _numbered(rows, place: str):
+    """``file_path, line, text``: the rows of each file as its lines, in order of place and text, counted from 1."""
+    w = W.partitionBy("file_path").orderBy(place, "text")
+    return rows.select("file_path", F.row_number().over(w).alias("line"), "text")
+
+
 def _statements(spark, d, family: str):
-    """Source texts with an import statement for each row of the dependency table, by source file."""
+    """Source lines: an import statement for each row of the dependency table, by source file."""
     g = table(spark, d, "dependency_graph").where((F.col("target_file") != "") & F.col("import_name").isNotNull() & (F.col("source_file") != ""))
     name, path = F.col("import_name"), F.regexp_replace("target_file", r"\.(ts|js|py|go)$", "")
     quoted = F.concat(F.lit("'"), path, F.lit("'"))
@@ -32,8 +39,7 @@ def _statements(spark, d, family: str):
             .otherwise(F.concat(F.lit("const { "), name, F.lit(" } = require("), quoted, F.lit(")")))
         )
     rows = g.select(F.col("source_file").alias("file_path"), "line", line.alias("text")).where(F.col("line").isNotNull()).distinct()
-    texts = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
-    return texts.select("file_path", F.array_join("l.text", "\n").alias("content"), F.lit(family).alias("language"))
+    return _numbered(rows, "line").withColumn("language", F.lit(family))
 
 
 def _imports(spark, d, family):
@@ -73,13 +79,12 @@ def extract_symbols(spark, d):
 
 
 def _declared(spark, d):
-    """A source text for each file of the node table: classes with their methods, functions, types."""
+    """The source lines of each file of the node table: classes with their methods, functions, types."""
     n = table(spark, d, "graph_nodes").where(F.col("kind").isin("class", "method", "function", "interface", "enum", "type_alias"))
     pad = {"class": "export class %s {", "method": "  %s(a) {", "function": "function %s(a) {", "interface": "interface %s {", "enum": "enum %s {", "type_alias": "type %s = a"}
     line = F.coalesce(*[F.when(F.col("kind") == k, F.format_string(v, "name")) for k, v in pad.items()])
     rows = n.where(F.col("name").rlike(r"^\w+$")).select("file_path", "start_line", line.alias("text")).distinct()
-    texts = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "text"))).alias("l"))
-    return texts.select("file_path", F.array_join("l.text", "\n").alias("content"))
+    return _numbered(rows, "start_line")
 
 
 def extract_symbols_declared(spark, d):

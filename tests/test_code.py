@@ -85,6 +85,21 @@ def test_references_of_a_file_in_chunks(spark, tmp_path):
     assert got == [("/p/a.ts", 3, "calls", "Shop.sell", "helper"), ("/p/a.ts", 7, "instantiates", "helper", "Shop")]
 
 
+def test_no_file_is_gathered_into_a_row(spark, tmp_path):
+    deps = [("/p/big.ts", f"/p/m{k}.ts", f"n{k}", k) for k in range(40)]
+    spark.createDataFrame(deps, "source_file string, target_file string, import_name string, line int").write.parquet(str(tmp_path / "dependency_graph.parquet"))
+    nodes = [("/p/big.ts", "class", "Shop", 1), ("/p/big.ts", "method", "sell", 2)]
+    spark.createDataFrame(nodes, "file_path string, kind string, name string, start_line int").write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    rows = {}
+    for f in (code_queries.parse_imports_js, code_queries.parse_imports_py, code_queries.parse_imports_go, code_queries.dependency_edges, code_queries.extract_symbols_declared, code_queries.class_members):
+        df = f(spark, str(tmp_path))
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+        rows[f.__name__] = df.count()
+    assert rows == {"parse_imports_js": 40, "parse_imports_py": 40, "parse_imports_go": 40, "dependency_edges": 40, "extract_symbols_declared": 2, "class_members": 1}
+    bare = spark.createDataFrame([("f", 7, "import a from 'b'", "go"), ("f", 9, "import a from 'b'", None)], "file_path string, line int, text string, language string")
+    assert [(r.line, r.path) for r in c.parse_imports(bare, ["file_path"]).collect()] == [(9, "b")]
+
+
 PATHS = [("./utils", "/src/components/Button.tsx", "/src/components/utils"), ("../a/./b?x=1", "/src/c/d.ts", "/src/a/b"), ("react", "/a.ts", "react"), ("./u#h", "/a.ts", "/u"), ("../../../x", "/a/b.ts", "/x")]
 
 
