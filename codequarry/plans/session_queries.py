@@ -121,7 +121,7 @@ def slugify_titles(spark, d):
 
 
 def unique_slugs(spark, d):
-    n = table(spark, d, "graph_nodes").select(F.col("id").alias("key"), fx.slug("name", 12).alias("base")).distinct().groupBy("key").agg(F.min("base").alias("base"))
+    n = table(spark, d, "graph_nodes").select(F.col("id").alias("key"), fx.slug("name").alias("base")).distinct().groupBy("key").agg(F.min("base").alias("base"))
     return index.unique_slugs(n, "key", "base", "key")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import sessions as s
+from codequarry.plans import session_queries
 from codequarry.streaming import operators as streams
 
 T0 = datetime(2025, 3, 1)
@@ -64,6 +65,13 @@ def test_selectors_and_roots(spark):
     assert {r.path: r.scope for r in s.root_of(paths, "path", roots).collect()} == {"/w/x/a": "x", "/w/xy": "all", "/w": "all", "/v": "custom", None: "custom"}
 
 
+def test_unique_slugs_keep_long_names(spark, tmp_path):
+    rows = [("a", "a long name with one end"), ("b", "a long name with another"), ("c", "x" * 60), ("d", "x" * 50)]
+    spark.createDataFrame(rows, "id string, name string").write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    got = {r.key: r.slug for r in session_queries.unique_slugs(spark, str(tmp_path)).collect()}
+    assert got == {"a": "a-long-name-with-one-end", "b": "a-long-name-with-another", "c": "x" * 48, "d": "x" * 48 + "-2"}
+
+
 def test_key_search(spark):
     rows = [("a", '{"tokenCount": 3, "x": {"y": [{"tokens": "t"}, {"z": {"w": {"token": 1}}}]}}'), ("b", "cut {"), ("c", None), ("d", "{}")]
     got = {(r.k, r.path, r.value) for r in s.key_search(spark.createDataFrame(rows, "k string, p string"), "k", "p", "(?i)token").collect()}
