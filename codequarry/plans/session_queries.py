@@ -255,7 +255,8 @@ def sliding_counts(spark, d):
 
 
 def dedupe_events(spark, d):
-    return streams.deduplicated(table(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"], "ts")
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    return streams.deduplicated(e, ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
 def session_idle_batch(spark, d):

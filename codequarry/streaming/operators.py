@@ -34,10 +34,16 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
 
 
 def deduplicated(events: DataFrame, keys: list[str], ts: str, lateness: str = "1 hour") -> DataFrame:
-    """The first event of each key; state is kept for the lateness only."""
+    """The first event of each key; state is kept for the lateness only.
+
+    On a batch that is the one of the smallest time (no time comes last), of equal times the first by the other columns in
+    their order, so it is the same in every run. In a stream it is the first to arrive.
+    """
     if events.isStreaming:
         return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    ties = [f.name for f in events.schema.fields if f.name != ts and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    first = F.min_by(F.struct(*events.columns), F.struct(F.col(ts).isNull(), ts, *ties))
+    return events.groupBy(*keys).agg(first.alias("_first")).select("_first.*")
 
 
 def frame_payloads(text: str) -> tuple[list[str], str]:

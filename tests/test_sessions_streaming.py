@@ -118,6 +118,12 @@ def test_windows_and_dedupe(spark, tmp_path, events):
     assert sorted(twice) == sorted((k, n) for k, _, n in events)
 
 
+def test_dedupe_keeps_the_first_event(spark):
+    rows = [("a", None, 0), ("a", T0 + timedelta(seconds=9), 1), ("a", T0, 3), ("a", T0, 2), (None, T0, 5), (None, T0, 4)]
+    got = streams.deduplicated(spark.createDataFrame(rows, EVENTS).coalesce(1), ["k"], "ts").collect()
+    assert {tuple(r) for r in got} == {("a", T0, 2), (None, T0, 4)}
+
+
 def test_frames(spark, tmp_path):
     text = 'event: x\r\ndata: {"a":1}\r\n\r\n: note\n\ndata: [DONE]\n\ndata: {"b":\ndata: 2}\n\ndata: broken\n\ndata: {"c":3}\n\ndata: {"d"'
     cuts = [text[i : i + 7] for i in range(0, len(text), 7)]
