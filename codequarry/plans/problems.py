@@ -9,12 +9,23 @@ from codequarry.operators import hierarchy, orphans
 from codequarry.session import cut, table
 
 
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "code_chunks"), table(spark, d, "graph_edges")
+
+
 def _trees(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return hierarchy.resolve_hierarchy(hierarchy.source_trees(table(spark, d, "code_chunks"), table(spark, d, "graph_edges"), **kw))
+    return hierarchy.resolve_hierarchy(hierarchy.source_trees(*_sources(spark, d), **kw))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).where("cyclic").select(F.col("tree").alias("tree_table"), "id")
+    return hierarchy.resolve_levels(hierarchy.source_trees(*_sources(spark, d))).where("cyclic").select(F.col("tree").alias("tree_table"), "id")
+
+
+def p2_several_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Every parent of the records that have more than one, with the one that paths follow."""
+    chunks, edges = _sources(spark, d)
+    both = hierarchy.several_parents(chunks, "code_chunks", "id", "parent_id").unionByName(hierarchy.several_parents(edges.where(F.col("kind") == "contains"), "graph_edges", "target", "source"))
+    return both.withColumnRenamed("tree", "tree_table")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +50,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(cut(p5_found(spark, d)), orphans.code_references(*_refs(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_several_parents, p2_paths, p2_descendants, p5_found, p5_counts)}
 
 _POINTERS = """
 ptr0 AS (
@@ -77,6 +88,10 @@ found AS (
 
 ORACLE = {
     "p2_found": "WITH RECURSIVE " + _POINTERS.format(rows=_ROWS) + "SELECT t AS tree_table, id FROM bad",
+    "p2_several_parents": """
+      WITH p AS (SELECT DISTINCT 'code_chunks' AS tree_table, id, parent_id AS parent FROM code_chunks WHERE id <> '' AND parent_id <> ''
+        UNION SELECT 'graph_edges', target, source FROM graph_edges WHERE kind = 'contains' AND target <> '' AND source <> '')
+      SELECT *, parent = min(parent) OVER w AS kept FROM p WINDOW w AS (PARTITION BY tree_table, id) QUALIFY count(*) OVER w > 1""",
     "p2_paths": "WITH RECURSIVE " + _POINTERS.format(rows=_ROWS_UP) + """
       SELECT p.t AS tree_table, p.id,
         CASE WHEN b.id IS NULL THEN coalesce(max_by(u.a, u.k), p.id) END AS root,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ def build_session(app: str = "codequarry", cpus: int | None = None, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes when its frame does
         .getOrCreate()
     )
 
@@ -28,13 +30,19 @@ def build_session(app: str = "codequarry", cpus: int | None = None, memory: str
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` by checkpoint() in the folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster that folder is shared, so a lost executor loses nothing. Only where the session names no folder (tests,
-    local runs) a private one is made.
+    On a cluster that folder is shared, so a lost executor loses nothing; where the session names none, it is an error. Only
+    a local session gets a private folder. Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` when the session starts,
+    as ``build_session`` does: then files of frames that are no longer in use are removed.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codequarry-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="codequarry-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

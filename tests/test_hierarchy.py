@@ -40,6 +40,32 @@ def test_random_forests_with_loops(spark, every):
         assert (x.root, x.depth) == ((None, None) if x.cyclic else (want[x.id][0], len(want[x.id]) - 1))
 
 
+def test_deep_chain_and_long_loop_without_paths(spark):
+    """100,000 rows in one chain, and a loop of 3,000 with a tail, in rows that stay small."""
+    rows = spark.range(100_000).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id"))
+    rows = rows.unionByName(spark.range(3000).select(F.concat(F.lit("l"), "id").alias("id"), F.concat(F.lit("l"), (F.col("id") + 1) % 3000).alias("parent_id")))
+    rows = rows.unionByName(spark.range(500).select(F.concat(F.lit("t"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("t"), F.col("id") - 1)).otherwise(F.lit("l7")).alias("parent_id")))
+    for every in (8, 10**6):  # with splitters in the loop, and without any
+        got = h.resolve_levels(h.parent_pointers(rows, "t", "id", "parent_id"), every)
+        n = got.agg(F.count("*"), F.sum(F.col("cyclic").cast("int")), F.sum(((F.col("root") == "n0") & (F.col("id") == F.concat(F.lit("n"), "depth"))).cast("int"))).first()
+        assert tuple(n) == (103_500, 3_500, 100_000)
+
+
+def test_levels_agree_with_paths(spark):
+    r = random.Random(9)
+    rows = [(f"n{k}", f"n{r.randrange(400)}", "x", "y") for k in range(300)]
+    p = h.parent_pointers(spark.createDataFrame(rows, SCHEMA), "t", "id", "parent_id")
+    cols = ["id", "root", "depth", "cyclic"]
+    assert sorted(map(str, h.resolve_levels(p).select(*cols).collect())) == sorted(map(str, h.resolve_hierarchy(p).select(*cols).collect()))
+
+
+def test_several_parents(spark):
+    rows = [("a", "p"), ("a", "q"), ("a", "q"), ("b", "p"), ("b", "p"), ("b", None), ("c", ""), (None, "p"), ("", "q")]
+    frame = spark.createDataFrame([(i, p, "x", "y") for i, p in rows], SCHEMA)
+    assert {tuple(r) for r in h.several_parents(frame, "t", "id", "parent_id").collect()} == {("t", "a", "p", True), ("t", "a", "q", False)}
+    assert h.several_parents(frame.limit(0), "t", "id", "parent_id").count() == 0
+
+
 def test_descendants(spark):
     got = h.descendants(resolve(spark, [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")])).collect()
     assert {(r.ancestor, r.descendant, r.distance) for r in got} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
