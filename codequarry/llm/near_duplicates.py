@@ -9,9 +9,12 @@ pairs are verified by their exact similarity.
 
 A pair of similarity s has Binomial(32, s) collisions: at the limit of 0.6 fewer than 9 come with probability 8e-5.
 
-Coordinate lists longer than ``LONG_LIST`` would cost the square of their length (a shared header in a third of all files).
-Their classes are joined exactly in another way: by the rarest word triples of each class, as many as a pair at the limit
-must share one of. Triples of a header are never among those unless the header makes up most of the content.
+A coordinate list that holds more than ``LONG_LIST`` classes (a header in a third of all files) is split before anybody meets
+in it: its classes are posted under their rarest word triples instead, each as many as a pair of its two sizes must share
+one of. That bound is exact, so splitting loses no pair, and the pairs that meet are retained by the same count of collisions.
+Triples that more than ``LONG_LIST`` classes post are split once more, by the sizes of both sides: a class meets another under
+a common header only where the header alone, given the two sizes, can reach the limit. What is still longer is one of many
+real pairs; such lists are joined block by block, so no task holds one whole.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ WORDS = 3
 LIMIT = 0.6
 COORDINATES = 32
 MATCHES = 9
-LONG_LIST = 500
+LONG_LIST = 500  #: classes in a list before it is split
+BLOCK = 4096  #: classes of one list that meet in one task
+BANDS = 1.04  #: ratio of neighbouring size bands of long triple lists
 
 _WORD = re.compile(rb"[a-z0-9_]+")
 _RNG = np.random.default_rng(20240229)
@@ -101,26 +106,62 @@ def _documents(rows: DataFrame, key: str, file: str, content: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), file_key(F.col(file)).alias("file"), F.col(content).alias("content")).where(F.col("id").isNotNull() & F.col("content").isNotNull())
 
 
-def _pairs_in_lists(posts: DataFrame) -> DataFrame:
-    """``a, b`` (a < b) of classes in one list, with enough collisions and sizes that allow the limit.
+def _sizes_fit(a: str, b: str) -> Column:
+    return F.least(a, b) >= F.lit(LIMIT) * F.greatest(a, b) - 1e-9
 
-    Postings carry their signature, so only pairs that pass leave the join.
+
+def _pairs_in_lists(left: DataFrame, right: DataFrame, key: list[str], fits: Column) -> DataFrame:
+    """``a, b`` (a < b) of classes on the two sides of one list that ``fits`` (in ``na, nb, ra, rb``) and that collide often enough.
+
+    Sides have ``key, cls, n, v, r`` and ``len``, the length of the list. Postings carry their signature, so only pairs that
+    pass leave the join. A list is met block by block: each posting goes to all pairs of blocks that hold its own.
     """
-    side = lambda x: posts.select("token", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+    blocks = F.ceil(F.col("len") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    side = lambda df, x: df.select(*key, "ba", "bb", F.col("cls").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "v", "r")])
     hits = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    sizes = F.least("na", "nb") >= F.lit(LIMIT) * F.greatest("na", "nb") - 1e-9
-    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & sizes & (hits >= MATCHES)).select("a", "b")
+    met = side(left.withColumn("ba", own).withColumn("bb", every), "a").join(side(right.withColumn("bb", own).withColumn("ba", every), "b"), [*key, "ba", "bb"])
+    met = met.where((F.col("a") != F.col("b")) & _sizes_fit("na", "nb") & fits & (hits >= MATCHES))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
 
+def _common(a: str | Column, b: str | Column) -> Column:
+    """How many triples sets of these sizes share at least, if they reach the limit."""
+    return F.ceil(F.lit(LIMIT / (1 + LIMIT)) * (a + b) - 1e-9)
 
-def _rare_triple_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of ``cls, v`` that can reach the limit, by the prefix of each class's triples in order of rarity."""
+
+def _split_by_triples(sets: DataFrame, classes: DataFrame, long_list: int) -> DataFrame:
+    """``a, b`` of the classes in ``sets`` (``cls, v``: all triples) that share a triple among the rarest of both.
+
+    With triples in one order of rarity, a pair of sizes na and nb whose c common triples reach the limit has its first common
+    one among the first na - c + 1 of one and the first nb - c + 1 of the other. A triple at place r of a set of n therefore
+    serves only partners of up to (n - r + 1) * (1 + limit) / limit - n triples.
+    """
+    n, r = F.col("n"), F.col("r")
     posts = sets.select("cls", F.size("v").alias("n"), F.explode("v").alias("t"))
-    counts = posts.groupBy("t").count()
-    posts = posts.join(counts, "t").withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy("count", "t")))
-    prefix = posts.where((F.col("count") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(LIMIT) - 1e-9) + 1))
-    a, b = prefix.select("t", F.col("cls").alias("a"), F.col("n").alias("na")), prefix.select("t", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(LIMIT) * F.greatest("na", "nb") - 1e-9))
-    return met.select("a", "b").distinct()
+    df = posts.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    ranked = posts.join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy("df", "t")))
+    reach = F.floor((n - r + 1) * ((1 + LIMIT) / LIMIT) - n + 1e-6)  # the largest partner this triple serves
+    prefix = ranked.where((F.col("df") > 1) & (reach >= F.ceil(n * LIMIT - 1e-9))).withColumn("reach", reach)
+    lists = prefix.groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > 1)
+    prefix = cut(prefix.drop("df").join(lists, "t"))
+    signed = classes.select("cls", "v")
+    fits = (F.col("ra") <= F.col("na") - _common(F.col("na"), F.col("nb")) + 1) & (F.col("rb") <= F.col("nb") - _common(F.col("na"), F.col("nb")) + 1)
+    short = prefix.where(F.col("len") <= long_list).join(signed, "cls")
+    pairs = _pairs_in_lists(short, short, ["t"], fits & (F.col("a") < F.col("b")))
+
+    band = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(BANDS)) + 1e-9).cast("int")
+    low, high = F.greatest(F.ceil(n * LIMIT - 1e-9), F.lit(1)), F.least(F.floor(n / LIMIT + 1e-9), F.col("reach"))
+    long = prefix.where(F.col("len") > long_list).where(low <= high).withColumn("mine", band(n))
+    long = long.withColumn("other", F.explode(F.sequence(band(low), band(high))))
+    smaller, larger = F.col("mine") == F.col("lo"), F.col("mine") == F.col("hi")
+    long = long.select("t", "cls", "n", "r", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    cells = long.groupBy("t", "lo", "hi").agg(F.count("*").alias("len"), F.count(F.when(smaller, 1)).alias("nl"), F.count(F.when(larger, 1)).alias("nh"))
+    long = long.join(cells.where((F.col("nl") > 0) & (F.col("nh") > 0) & (F.col("len") > 1)).drop("nl", "nh"), ["t", "lo", "hi"]).join(signed, "cls")
+    apart = fits & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+    return pairs.unionByName(_pairs_in_lists(long.where(smaller), long.where(larger), ["t", "lo", "hi"], apart)).distinct()
 
 
 def duplicate_classes(rows: DataFrame, key: str = "id", file: str = "file_path", content: str = "content", *, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
@@ -140,14 +181,15 @@ def duplicate_classes(rows: DataFrame, key: str = "id", file: str = "file_path",
     own = F.sort_array(F.collect_list(F.struct("len", "token")))  # at most one for each coordinate
     prefix = shared.groupBy("cls").agg(own.alias("own")).where(F.size("own") >= MATCHES)
     prefix = prefix.select("cls", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("p")).select("cls", "p.*")
-    prefix = cut(prefix.join(classes.select("cls", "n", "v"), "cls"))
+    prefix = cut(prefix.join(classes.select("cls", "n", "v"), "cls").withColumn("r", F.lit(0)))
 
-    pairs = _pairs_in_lists(prefix.where(F.col("len") <= long_list)).distinct()
+    met = prefix.where(F.col("len") <= long_list)
+    pairs = _pairs_in_lists(met, met, ["token"], F.col("a") < F.col("b")).distinct()
 
     crowded = prefix.where(F.col("len") > long_list).select("cls").distinct()
     contents = lambda which: _sketch(docs.join(classes.join(which, "cls", "left_semi").select("id"), "id", "left_semi"), sets=True).select("cls", "v").dropDuplicates(["cls"])
     if not crowded.isEmpty():
-        pairs = pairs.unionByName(_rare_triple_pairs(cut(contents(crowded)))).distinct()
+        pairs = pairs.unionByName(_split_by_triples(cut(contents(crowded)), classes, long_list)).distinct()
     pairs = cut(pairs)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()

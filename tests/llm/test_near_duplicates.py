@@ -38,9 +38,9 @@ def family(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("long_list", [near.LONG_LIST, 1])
+@pytest.mark.parametrize("long_list", [near.LONG_LIST, 20, 1])
 def test_equals_brute_force(spark, long_list):
-    """With lists of any length, and with every list handled by the rare-triple join."""
+    """With lists of any length, and with nearly every list split."""
     rows = family(1)
     header = "licensed under the terms of the common header of all files in this tree"
     rows += [(f"h{k}", f"/h/{k}.go", f"{header} own{k} words{k} follow{k} here{k} now{k} and{k} go{k} on{k} to{k} end{k} it{k}", "x", 1) for k in range(40)]
@@ -48,6 +48,32 @@ def test_equals_brute_force(spark, long_list):
     assert got == brute(rows)
 
 
+def test_common_header_costs_no_pairs(spark, monkeypatch):
+    """600 files under one header of 60 words and more sizes than one: lists are split, and few pairs meet beside the real ones."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    header, rows = [word() for _ in range(60)], []
+    for k in range(600):
+        own = [word() for _ in range(25 if k % 3 else 20 + k % 20)]
+        rows.append((f"h{k}", f"/h/{k}", " ".join(header + own), "x", 1))
+        if k % 20 == 0:
+            rows.append((f"c{k}", f"/c/{k}", " ".join(header + own[:16] + [word() for _ in own[16:]]), "x", 1))
+    met, split = [], near._split_by_triples
+    monkeypatch.setattr(near, "_split_by_triples", lambda *a: met.append(near.cut(split(*a))) or met[0])
+    got = {tuple(x) for x in near.similar_pairs(*near.duplicate_classes(spark.createDataFrame(rows, SCHEMA), long_list=100)).collect()}
+    want = brute(rows)
+    assert got == want and len(want) >= 30 and met[0].count() <= 2 * len(want) + 50
+
+
+def test_blocks_of_a_list_meet(spark, monkeypatch):
+    """A list over many blocks gives the same pairs."""
+    rows = family(6, 25)
+    want = brute(rows)
+    monkeypatch.setattr(near, "BLOCK", 2)
+    for long_list in (1, 500):
+        assert {tuple(x) for x in near.similar_pairs(*near.duplicate_classes(spark.createDataFrame(rows, SCHEMA), long_list=long_list)).collect()} == want
+
+
 def test_edge_cases(spark):
     text = "one two three four five"
     rows = [
