@@ -2,7 +2,13 @@
 
 The two halves of a unit vector are quantised apart, so K centroids a half make K*K cells. A query walks the pairs of
 centroids in order of their summed distance with a heap, and is compared with the entries of the cells it reaches; the best
-are reranked by their exact cosine. Quantisers are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed.
+are reranked by their exact cosine. Every vector is indexed. Quantisers are fitted on a bounded sample: ``SAMPLE`` vectors, or
+``SAMPLE_EACH`` a centroid if that is more; K is the root of the rows over the rows a cell, so cells keep their size as data grow, and
+starts from sampled vectors, so a dense region gets its share of centroids. What the driver holds of an index are the
+centroids and one bit a cell: at most rows / 256 bytes.
+
+Each query and each entry keeps its best of every block of a cell, so what leaves a cell is linear in its rows, however alike
+they are.
 """
 
 from __future__ import annotations
@@ -24,10 +30,11 @@ from codequarry.session import cut
 SIZE = 64
 HALF = SIZE // 2
 SAMPLE = 16_384  #: vectors a field that the quantisers are fitted on
-CELL_ROWS = 128  #: rows a cell that K is chosen for
-MOST_CENTROIDS = 1024  #: of a half
-PROBES = 12  #: non-empty cells a query reaches at least
-LEAST = 4096  #: entries that a query without a floor is compared with at least
+SAMPLE_EACH = 32  #: or so many for each centroid of a half
+CELL_ROWS, PROBES = 128, 12  #: rows a cell that K is chosen for, and non-empty cells a query reaches, where a floor asks for close vectors only
+FAR_CELL_ROWS, FAR_PROBES = 32, 48  #: the same without a floor
+SPARE = 3  #: times k that are kept of each block before the exact rerank
+KNOWN_CELLS = 100_000  #: divided cells whose list is broadcast; a longer one is joined
 BLOCK = 4096  #: entries of a cell that one task holds at once
 SLACK = 0.01  #: by how much the cosine of rounded vectors may be too low
 
@@ -91,25 +98,31 @@ def usable_vectors(chunks: DataFrame, key: str = "id", vector: str = "vector", s
 
 
 class MultiIndex:
-    """The quantisers of one field, and how many rows each cell has."""
+    """The quantisers of one field, and which cells have entries."""
 
-    def __init__(self, sample: np.ndarray, rows: int):
-        k = min(MOST_CENTROIDS, max(1, round(math.sqrt(rows / CELL_ROWS))), max(1, len(sample)))
+    def __init__(self, sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS):
+        k = min(_centroids(rows, cell_rows), max(1, len(sample)))
         self.centres = [self._fit(sample[:, h * HALF : (h + 1) * HALF], k) for h in (0, 1)]
         self.k = k
-        self.counts: dict[int, int] = {}
+        self.filled = np.zeros(k * k, bool)
 
     @staticmethod
     def _fit(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         c = x[np.random.default_rng(3).choice(len(x), k, replace=False)].copy()
         for _ in range(rounds):
-            near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+            near = np.concatenate([np.argmin((c * c).sum(1) - 2 * x[s : s + 8192] @ c.T, axis=1) for s in range(0, len(x), 8192)])
             n = np.bincount(near, minlength=k)
             total = np.zeros_like(c)
             np.add.at(total, near, x)
             c[n > 0] = total[n > 0] / n[n > 0][:, None]
         return c
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"filled": np.packbits(self.filled)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"filled": np.unpackbits(state["filled"], count=state["k"] ** 2).astype(bool)}
+
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [(c * c).sum(1) - 2 * x[:, h * HALF : (h + 1) * HALF] @ c.T + (x[:, h * HALF : (h + 1) * HALF] ** 2).sum(1)[:, None] for h, c in enumerate(self.centres)]
 
@@ -117,39 +130,49 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(1) * self.k + b.argmin(1)
 
-    def walk(self, x: np.ndarray, probes: int, want: int) -> list[list[int]]:
-        """For each row the cells it reaches: at least ``probes`` non-empty ones, with ``want`` entries or more."""
+    def walk(self, x: np.ndarray, probes: int) -> list[list[int]]:
+        """For each row the ``probes`` non-empty cells that it reaches first."""
+        near = min(self.k, 8 * probes)
         out = []
-        k, counts = self.k, self.counts
         da, db = self.distances(x)
-        oa, ob = da.argsort(1), db.argsort(1)
-        sa, sb = np.take_along_axis(da, oa, 1).tolist(), np.take_along_axis(db, ob, 1).tolist()
-        for a, b, ia, ib in zip(sa, sb, oa.tolist(), ob.tolist()):
-            heap, cells, seen = [(a[0] + b[0], 0, 0)], [], 0
-            while heap and (len(cells) < probes or seen < want):
-                _, i, j = heapq.heappop(heap)
-                if j + 1 < k:
-                    heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
-                if j == 0 and i + 1 < k:
-                    heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
-                cell = ia[i] * k + ib[j]
-                if n := counts.get(cell):
-                    cells.append(cell)
-                    seen += n
+        oa, ob = (np.argpartition(d, near - 1, axis=1)[:, :near] for d in (da, db))
+        for a, b, ia, ib in zip(da, db, oa, ob):
+            cells = self._pairs(a[ia], b[ib], ia, ib, probes)
+            if len(cells) < probes and near < self.k:
+                every = np.arange(self.k)
+                cells = self._pairs(a, b, every, every, probes)
             out.append(cells)
         return out
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, probes: int) -> list[int]:
+        oa, ob = a.argsort(kind="stable"), b.argsort(kind="stable")
+        a, b, ia, ib = a[oa].tolist(), b[ob].tolist(), ia[oa].tolist(), ib[ob].tolist()
+        k, filled, heap, cells = self.k, self.filled, [(a[0] + b[0], 0, 0)], []
+        while heap and len(cells) < probes:
+            _, i, j = heapq.heappop(heap)
+            if j + 1 < len(b):
+                heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+            if j == 0 and i + 1 < len(a):
+                heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+            if filled[cell := ia[i] * k + ib[j]]:
+                cells.append(cell)
+        return cells
+
 
-def build_index(classes: DataFrame) -> tuple[dict[str, MultiIndex], DataFrame]:
+def _centroids(rows: int, cell_rows: int) -> int:
+    return max(1, round(math.sqrt(rows / cell_rows)))
+
+
+def build_index(classes: DataFrame, cell_rows: int = CELL_ROWS) -> tuple[dict[str, MultiIndex], DataFrame]:
     """Fits each field's quantisers on a bounded sample and gives ``classes`` (``field, cls, v``) their cell."""
     sizes = {r.field: r.n for r in classes.groupBy("field").agg(F.count("*").alias("n")).collect()}  # two fields
     index = {}
     for field, n in sizes.items():
-        part = classes.where(F.col("field") == field)
-        if n > SAMPLE:
-            part = part.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
-        sample = _unpacked(part.select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks(), np.float32)
-        index[field] = MultiIndex(sample[np.lexsort(sample[:, :8].T)], n)  # in an order of its own, so equal data fit alike
+        part, size = classes.where(F.col("field") == field), max(SAMPLE, SAMPLE_EACH * _centroids(n, cell_rows))
+        if n > size:
+            part = part.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000_000)) < int(1_000_000_000 * size / n))
+        sample = _unpacked(part.select("v").limit(2 * size).toArrow().column("v").combine_chunks(), np.float32)
+        index[field] = MultiIndex(sample[np.lexsort(sample[:, :8].T)], n, cell_rows)  # in an order of its own, so equal data fit alike
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,13 +183,15 @@ def build_index(classes: DataFrame) -> tuple[dict[str, MultiIndex], DataFrame]:
             yield b.append_column("cell", pa.array(cell, pa.int32()))
 
     placed = cut(classes.select("field", "cls", "v").mapInArrow(assign, "field string, cls binary, v binary, cell int"))
-    for r in placed.groupBy("field", "cell").agg(F.count("*").alias("n")).collect():  # K * K rows at most
-        index[r.field].counts[r.cell] = r.n
+    bits = placed.groupBy("field", F.bitmap_bucket_number(F.col("cell") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits"))
+    for r in bits.collect():  # a bit for each of K * K cells, in parts of 32,768
+        got = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
+        index[r.field].filled[(r.part - 1) * 32_768 + got] = True
     return index, placed
 
 
-def _ship(index: dict[str, MultiIndex], probes: int, share: float, least: int):
-    """Queries as a row for each block of each cell they reach, rounded to 8 bits a number."""
+def _ship(index: dict[str, MultiIndex], probes: int):
+    """Queries as a row for each cell they reach, rounded to 8 bits a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,58 +202,89 @@ def _ship(index: dict[str, MultiIndex], probes: int, share: float, least: int):
                 small = np.concatenate([np.round(x / top[:, None] * 127).astype(np.int8), (top / 127).astype(np.float32)[:, None].view(np.int8)], axis=1)
                 for f in sorted(set(fields.tolist())):
                     rows = np.flatnonzero(fields == f)
-                    mine = index[f]
-                    walks = mine.walk(x[rows], probes, max(least, math.ceil(share * sum(mine.counts.values()))))
-                    goes = [(r, c, k) for r, cells in zip(rows.tolist(), walks) for c in cells for k in range(-(-mine.counts[c] // BLOCK))]
-                    if goes:
-                        at, cell, block = (np.array(v) for v in zip(*goes))
-                        yield pa.RecordBatch.from_arrays([pa.array([f] * len(at)), pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(np.ones(len(at)), pa.int8()), b.column("cls").take(pa.array(at)), _packed(small[at])], names=["field", "cell", "block", "tag", "cls", "v"])
+                    walks = index[f].walk(x[rows], probes)
+                    at, cell = np.repeat(rows, [len(w) for w in walks]), np.array([c for w in walks for c in w], np.int32)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([f] * len(at)), pa.array(cell), pa.array(np.ones(len(at)), pa.int8()), b.column("cls").take(pa.array(at)), _packed(small[at])], names=["field", "cell", "tag", "cls", "v"])
 
     return run
 
 
-def _scan(k: int, floor: float):
+def _best(cos: np.ndarray, keep: int) -> np.ndarray:
+    """Per row the columns of its ``keep`` largest values."""
+    return np.argpartition(-cos, keep - 1, axis=1)[:, :keep] if keep < cos.shape[1] else np.tile(np.arange(cos.shape[1]), (len(cos), 1))
+
+
+class _Block:
+    """The entries of one block, and of each its best queries so far."""
+
+    def __init__(self, field: str, names: list[bytes], entries: np.ndarray, keep: int, floor: float):
+        self.field, self.names, self.entries, self.keep, self.floor = field, np.array(names, object), entries, keep, floor
+        self.score = np.full((len(names), keep), -9, np.float32)
+        self.who = np.full((len(names), keep), None, object)
+
+    def _rows(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = (near >= self.floor - SLACK) & (a != b)
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array([self.field] * int(ok.sum())), pa.array(a[ok], pa.binary()), pa.array(b[ok], pa.binary()), pa.array(near[ok], pa.float32())], names=["field", "a", "b", "near"])
+
+    def pass_by(self, own: list[bytes], x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The best entries of each query; the entries take note of it, where a floor lets either side name the other."""
+        cos, own = x @ self.entries.T, np.array(own, object)
+        j = _best(cos, min(self.keep, len(self.names)))
+        i = np.repeat(np.arange(len(x)), j.shape[1])
+        yield from self._rows(own[i], self.names[j.ravel()], cos[i, j.ravel()])
+        if self.floor > -1:
+            rows = np.flatnonzero(cos.max(0) >= self.floor - SLACK)
+            if len(rows):
+                seen = cos[:, rows].T
+                q = _best(seen, min(self.keep, len(own)))
+                score = np.concatenate([self.score[rows], np.take_along_axis(seen, q, 1)], axis=1)
+                who = np.concatenate([self.who[rows], own[q]], axis=1)
+                top = _best(score, self.keep)
+                self.score[rows], self.who[rows] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
+
+    def notes(self) -> Iterator[pa.RecordBatch]:
+        i, j = np.nonzero(self.score >= self.floor - SLACK)
+        if self.floor > -1 and len(i):
+            yield from self._rows(self.names[i], self.who[i, j], self.score[i, j])
+
+
+def _scan(keep: int, floor: float):
     """Rows in order of cell, block and tag: holds a block's entries and streams its queries past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
+        block: _Block | None = None
         names: list[bytes] = []
         parts: list[np.ndarray] = []
-        entries = np.zeros((0, SIZE), np.float32)
         for b in batches:
             tag = np.asarray(b.column("tag"))
-            cell, block = np.asarray(b.column("cell")), np.asarray(b.column("block"))
+            cell, part = np.asarray(b.column("cell")), np.asarray(b.column("block"))
             fields = b.column("field").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(tag) != 0) | (np.diff(fields) != 0)) + 1
+            new = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(tag) != 0) | (np.diff(fields) != 0)) + 1
             for s, e in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
-                where = (b.column("field")[s].as_py(), int(cell[s]), int(block[s]))
+                where = (b.column("field")[s].as_py(), int(cell[s]), int(part[s]))
                 if where != held:
-                    held, names, parts, entries = where, [], [], np.zeros((0, SIZE), np.float32)
+                    if block:
+                        yield from block.notes()
+                    held, block, names, parts = where, None, [], []
                 run_ = b.slice(s, e - s)
                 if not tag[s]:
                     names += run_.column("cls").to_pylist()
                     parts.append(_unpacked(run_.column("v"), np.float16).astype(np.float32))
                     continue
-                if parts:
-                    entries, parts = np.concatenate([entries, *parts]), []
-                if not len(entries):
+                if block is None and parts:
+                    block = _Block(where[0], names, np.concatenate(parts), keep, floor)
+                if block is None:
                     continue
                 for q in range(0, e - s, 512):
                     sub = run_.slice(q, 512)
                     raw = _unpacked(sub.column("v"), np.int8)
                     x = raw[:, :SIZE].astype(np.float32) * np.ascontiguousarray(raw[:, SIZE:]).view(np.float32)
-                    cos = x @ entries.T
-                    keep = min(k, len(entries))
-                    if floor > -1:
-                        i, j = np.nonzero(cos >= floor - SLACK)
-                    else:
-                        j = np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
-                        i, j = np.repeat(np.arange(len(x)), keep), j.ravel()
-                    own = sub.column("cls").to_pylist()
-                    hits = [(own[a], names[c], float(cos[a, c])) for a, c in zip(i.tolist(), j.tolist()) if own[a] != names[c]]
-                    if hits:
-                        a, c, v = zip(*hits)
-                        yield pa.RecordBatch.from_arrays([pa.array([where[0]] * len(a)), pa.array(a, pa.binary()), pa.array(c, pa.binary()), pa.array(v, pa.float32())], names=["field", "a", "b", "near"])
+                    yield from block.pass_by(sub.column("cls").to_pylist(), x)
+        if block:
+            yield from block.notes()
 
     return run
 
@@ -245,27 +301,29 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("field"), b.column("a"), b.column("b"), pa.array(cos)], names=["field", "a", "b", "cosine"])
 
 
-def class_neighbours(placed: DataFrame, queries: DataFrame, index: dict[str, MultiIndex], *, k: int, floor: float = -1.0, probes: int = PROBES, share: float = 0.0, least: int = 0) -> DataFrame:
+def class_neighbours(placed: DataFrame, queries: DataFrame, index: dict[str, MultiIndex], *, k: int, floor: float = -1.0, probes: int = PROBES) -> DataFrame:
     """``field, a, b, cosine``: for query classes ``a`` their near classes ``b``, reranked by exact cosine.
 
-    Without a floor these are the k nearest of the cells reached. With one, all pairs at or above it are kept, in both
-    directions, so a pair is found when either side reaches the other's cell. A cell with more than ``BLOCK`` entries is
-    split into blocks, so no task holds a whole cell; queries stream past.
+    They are the best of the cells that a query reaches; with a floor, those below it are left out, and each entry also has
+    its best among the queries that reach it, so a pair is found when either side reaches the other's cell. A cell with more
+    than ``BLOCK`` entries is divided into blocks, so no task holds a whole cell; queries stream past. The list of divided
+    cells is broadcast up to ``KNOWN_CELLS``, else joined.
     """
-    sizes = placed.sparkSession.createDataFrame([(f, c, -(-n // BLOCK)) for f, m in index.items() for c, n in m.counts.items()] or [("", 0, 1)], "field string, cell int, blocks int")
-    entries = placed.join(F.broadcast(sizes), ["field", "cell"])  # K * K rows a field at most
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    divided = cut(placed.groupBy("field", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(F.col("blocks") > 1))
+    if divided.count() <= KNOWN_CELLS:
+        divided = F.broadcast(divided)
+    entries = placed.join(divided, ["field", "cell"], "left")
+    entries = entries.withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("blocks")), F.lit(0)).cast("int"))
     layout = "field string, cell int, block int, tag tinyint, cls binary, v binary"
     entries = entries.select("field", "cell", "block", F.lit(0).cast("tinyint").alias("tag"), "cls", "v").mapInArrow(_halves, layout)
-    shipped = queries.select("field", "cls", "v").mapInArrow(_ship(index, probes, share, least), layout)
-    both = entries.unionByName(shipped).repartition("field", "cell", "block").sortWithinPartitions("field", "cell", "block", "tag")
-    hits = both.mapInArrow(_scan(k + 6, floor), "field string, a binary, b binary, near float")
+    shipped = queries.select("field", "cls", "v").mapInArrow(_ship(index, probes), layout.replace("block int, ", ""))
+    shipped = shipped.join(divided, ["field", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    both = entries.unionByName(shipped.drop("blocks")).repartition("field", "cell", "block").sortWithinPartitions("field", "cell", "block", "tag")
+    hits = both.mapInArrow(_scan(SPARE * k, floor), "field string, a binary, b binary, near float")
     if floor > -1:
-        hits = hits.select("field", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("field", "p.*").distinct()
-    else:
-        best = W.partitionBy("field", "a").orderBy(F.desc("near"), "b")
-        hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 6).select("field", "a", "b")
-    hits = cut(hits)
+        hits = hits.groupBy("field", "a", "b").agg(F.max("near").alias("near"))
+    best = W.partitionBy("field", "a").orderBy(F.desc("near"), "b")
+    hits = cut(hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= SPARE * k).select("field", "a", "b"))
     wanted = hits.select("field", F.explode(F.array("a", "b")).alias("cls")).distinct()
     vectors = cut(placed.join(wanted, ["field", "cls"], "left_semi").select("field", "cls", "v"))
     side = lambda c: vectors.select("field", F.col("cls").alias(c), F.col("v").alias(f"v{c}"))
@@ -306,15 +364,15 @@ def close_pairs(chunks: DataFrame, *, k: int = 10, floor: float = 0.9, probes: i
     return found.select(F.col("field").alias("vec_field"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def nearest_ids(chunks: DataFrame, asked: Column, *, k: int = 10, share: float = 0.12, least: int = LEAST) -> DataFrame:
+def nearest_ids(chunks: DataFrame, asked: Column, *, k: int = 10, probes: int = FAR_PROBES) -> DataFrame:
     """``vec_field, id, other, cosine, rank``: the k nearest others of the ids that ``asked`` holds for, among all rows.
 
-    A query's walk reaches the part ``share`` of all entries and ``least`` of them, whichever is more: a share alone is too
-    little where there are few cells. The README has the recall against brute force by field and size.
+    A query reaches ``probes`` cells, whatever the number of rows. The README has the recall against brute force by field and
+    size.
     """
     members, classes = _prepared(chunks)
-    index, placed = build_index(classes)
+    index, placed = build_index(classes, FAR_CELL_ROWS)
     mine = members.where(asked)
     queries = placed.join(mine.select("field", "cls").distinct(), ["field", "cls"], "left_semi")
-    near = class_neighbours(placed, queries, index, k=k, share=share, least=least)
+    near = class_neighbours(placed, queries, index, k=k, probes=probes)
     return nearest(members, near, mine, k).select(F.col("field").alias("vec_field"), "id", "other", F.round("cosine", 6).alias("cosine"), "rank")

@@ -68,7 +68,37 @@ def test_recall_with_far_more_cells_than_probes(spark):
                     best[ids[j]] = max(best.get(ids[j], -2), cos[j])
             true = sorted(best.values())[-10:]
             hits, want = hits + sum(c >= true[0] - 2e-6 for c in found), want + len(true)
-        assert nb.MultiIndex(x, len(x)).k ** 2 >= 3 * nb.PROBES and want > 500 and hits >= 0.95 * want
+        assert nb.MultiIndex(x, len(x), nb.FAR_CELL_ROWS).k ** 2 >= 3 * nb.FAR_PROBES and want > 500 and hits >= 0.95 * want
+
+
+def test_dense_region_stays_linear(spark):
+    """Families round one centre, all of them alike: what leaves the cells grows with their number, and each family is found."""
+    r = np.random.default_rng(8)
+    centre, sizes = r.normal(size=64), []
+    for n in (500, 1000):
+        x = {}
+        for k in range(n // 4):
+            base = centre + r.normal(size=64) * 0.1
+            x |= {f"d{k:05d}_{j}": (base + r.normal(size=64) * 0.01).astype(np.float32).tolist() for j in range(4)}
+        frame = spark.createDataFrame([(k, v, None, "x", "y") for k, v in x.items()], SCHEMA)
+        _, classes = nb._prepared(frame)
+        index, placed = nb.build_index(classes, nb.FAR_CELL_ROWS)
+        sizes.append(nb.class_neighbours(placed, placed, index, k=10, floor=0.9).count())
+    assert sizes[0] <= 500 * 30 and sizes[1] <= 1000 * 30
+    pairs, _ = brute(x, k=3)
+    got = {(p.id_a, p.id_b) for p in nb.close_pairs(frame).collect()}
+    assert len(pairs) == 1500 and len(pairs & got) >= 0.98 * len(pairs)
+
+
+@pytest.mark.parametrize("known", [nb.KNOWN_CELLS, 0])
+def test_divided_cells(spark, vectors, monkeypatch, known):
+    """With cells in many blocks, their list broadcast or joined, the same pairs come out."""
+    some = dict(list(vectors.items())[:400])
+    frame = spark.createDataFrame([(k, v, None, "x", "y") for k, v in some.items()], SCHEMA)
+    want = {tuple(r) for r in nb.close_pairs(frame).collect()}
+    monkeypatch.setattr(nb, "BLOCK", 7)
+    monkeypatch.setattr(nb, "KNOWN_CELLS", known)
+    assert {tuple(r) for r in nb.close_pairs(frame).collect()} == want != set()
 
 
 def test_usable_values_and_ties(spark):
