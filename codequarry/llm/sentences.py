@@ -1,14 +1,18 @@
 """Sentence boundaries across languages and scripts, by a linear-chain model with Viterbi decoding.
 
 Structure comes first: blank lines, headings, fenced blocks and list items bound blocks. Within a block every character is
-tagged boundary or inside; only a mark with its closing quotes, or a blank between two Thai letters, can be a boundary, and
-its tag depends on what it emits and on the tag of the mark before it.
+tagged boundary or inside; only a mark with its closing quotes, or a blank between two letters of a script that writes no
+marks (Thai, Lao), can be a boundary, and its tag depends on what it emits and on the tag of the mark before it.
 
 The model is counted over all documents, without labels. The last mark of a block ends a sentence for certain, so a kind of
 mark (the word before it, or how its quotation was opened) that ends sentences is found at block ends about as often as
 marks in general, and one that never is there doesn't: abbreviations, initials, ordinals and quotations that go on. Kinds
-that are certain then teach what follows a boundary, and how tags follow each other. For Thai, text stripped of its blanks
-teaches which letters stand before and after a boundary.
+that are certain then teach what follows a boundary, and how tags follow each other. Scripts without marks are trained on text
+stripped of its blanks: which letters stand before and after a boundary. A blank there is an end unless the letters speak
+clearly against it (``BLANK``, less than what letters can say).
+
+Texts are read twice in Python: once to find their candidates, which are kept as a compact table that counting, teaching and
+decoding work on, and once, those with Thai or Lao only, to count letters.
 """
 
 from __future__ import annotations
@@ -27,29 +31,49 @@ from pyspark.sql import types as T
 
 from codequarry.session import cut, spread
 
-MOST_KINDS = 200_000  #: kinds that deviate from their class which the model keeps, the most frequent ones
+KNOWN_KINDS = 1_000_000  #: kinds of marks with a score of their own that tasks hold as one list; a longer one is joined
+EVIDENCE = 2.0  #: log odds from sightings inside blocks from which a kind gets a score of its own
+CLAIM = 50.0  #: log odds from which a kind that ends sentences gets one
 CERTAIN = 4.0  #: log odds from which a kind teaches
 CLIP = 8.0
-THAI_BLANK = 12.0  #: log odds of a blank between two Thai letters before the letters are looked at: the convention is to end there
+BLANK = 6.0  #: log odds of a blank between two Thai or Lao letters before the letters are looked at; they may say up to CLIP
 LONG_WORD = 3.0  #: log odds of a word over three letters, before its counts, not to be an abbreviation
 NEVER = 0.004  #: how often a kind that ends no sentence is the last of a block all the same
+DOUBT = 1.0  #: boundaries that runs of letters count as seen, and as expected, before any is
 
 #: Fixed values.
-WIDE_MARKS = "。！？｡．।॥؟۔"
+WIDE_MARKS = "。！？｡．।॥؟۔។៕။།༎።፧։"
 OPENERS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", "‘": "’", "‚": "‘"}
 CLOSERS = "\"'”’“»›」』)）]】》〉"
-THAI = "ก-ฺเ-๎"
+BLANK_SCRIPTS = ("ก-ฺเ-๎", "ກ-ຽເ-ໍໜ-ໟ")
 
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*]|\d{1,9}[.)])[ \t\xa0]+(?=\S)")
-_CANDIDATE = re.compile(rf"(?P<mark>[.!?…{WIDE_MARKS}]+)|(?<=[{THAI}])(?P<thai>[ \t\xa0]+)(?=[{THAI}])")
+_BLANK = "|".join(rf"(?<=[{x}])[ \t\xa0]+(?=[{x}])" for x in BLANK_SCRIPTS)
+_CANDIDATE = re.compile(rf"(?P<mark>[.!?…{WIDE_MARKS}]+)|(?P<bare>{_BLANK})")
+_LETTER = re.compile(f"[{''.join(BLANK_SCRIPTS)}]")
 _QUOTE = re.compile("[" + re.escape("".join(OPENERS) + "".join(OPENERS.values()) + '"') + "]")
 _IDENT = re.compile(r"[A-Za-z_$][\w$./-]*(?:[a-z0-9][A-Z]|[._/][A-Za-z]|\(\))[\w$./()-]*\Z")
 _LETTERS = re.compile(r"(?:\w{1,2}\.)+\w{1,2}")
-_AFTER = re.compile(r"[\s﻿]*(\S*)")
-_BEFORE = re.compile(r"\S+\Z")
+_AFTER = re.compile(r"[\s﻿]*(\S{0,80})")  # a name is looked at up to 80 characters
+_SPACE = re.compile(r"[\s\ufeff]*")
+_CLOSING = re.compile("[ \xa0 " + re.escape(CLOSERS) + "]*")
+
+#: What a candidate's code holds: what follows it, how far it is from the one before, and what an unknown kind is taken for.
+FOLLOWS = ("end", "upper", "lower", "ident", "digit", "open", "letter")
+GAPS = ("near", "mid", "far")
+GROUPS = ("g:none", "g:number", "g:long", "g:inner", "g:short", "m:", "q:start", "q:none", "q::", "q:：", "q:,", "q:，", "q:、", "bare")
+LAST = -1  #: the code of the last character of a block
+_BARE = GROUPS.index("bare")
+
+
+def _code(follow: str, gap: str, group: str) -> int:
+    return FOLLOWS.index(follow) | GAPS.index(gap) << 3 | GROUPS.index(group) << 5
+
+
+_CODES = {(f, g, x): _code(f, g, x) for f in FOLLOWS for g in GAPS for x in GROUPS}
 
 
 def blank(text: str) -> bool:
@@ -93,23 +117,20 @@ def blocks(text: str) -> list[tuple[str, int, int]]:
 def _pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     """Outermost (open, close) positions of matched quotes and brackets. Unmatched ones count as nothing."""
     stack: list[tuple[str, int]] = []
+    waits: Counter = Counter()
     found = []
     for m in _QUOTE.finditer(text, s, e):
         c, at = m[0], m.start()
-        wants = [w for w, _ in stack]
-        if c == '"':
-            if '"' in wants:
-                while stack[-1][0] != '"':
-                    stack.pop()
-                found.append((stack.pop()[1], at))
-            else:
-                stack.append(('"', at))
-        elif c in wants:
-            while stack[-1][0] != c:
-                stack.pop()
-            found.append((stack.pop()[1], at))
-        elif c in OPENERS and not (c in "‘‚" and at > s and text[at - 1].isalnum()):
-            stack.append((OPENERS[c], at))
+        if waits[c]:
+            while True:
+                want, begin = stack.pop()
+                waits[want] -= 1
+                if want == c:
+                    break
+            found.append((begin, at))
+        elif c == '"' or c in OPENERS and not (c in "‘‚" and at > s and text[at - 1].isalnum()):
+            stack.append((OPENERS.get(c, c), at))
+            waits[OPENERS.get(c, c)] += 1
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -118,27 +139,25 @@ def _pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return outer
 
 
-@dataclass
-class Candidate:
-    end: int  # code points up to the boundary
-    kind: str
-    group: str  # what an unknown kind is taken for
-    follow: str  # what comes after; "end" for the last of a block
-    gap: str
-    thai: tuple[str, str] | None = None
+def _last_word(text: str) -> str:
+    """What stands after the last white space."""
+    return text.rsplit(None, 1)[-1] if text and not text[-1].isspace() else ""
 
 
 def _word_kind(text: str, s: int, at: int) -> tuple[str, str]:
-    m = _BEFORE.search(text, max(s, at - 60), at)
-    word = m[0].lstrip("\"'“„«‹「『(（[¿¡") if m else ""
+    whole = _last_word(text[max(s, at - 60) : at])
+    word = whole.lstrip("\"'“„«‹「『(（[¿¡")
     if not word:
         return "w:", "g:none"
     if word.isdigit():
-        p = _BEFORE.search(text[max(s, m.start() - 40) : m.start()].rstrip())
-        return f"n:{p[0].lower()[-20:] if p else ''}", "g:number"
-    if any(c.isdigit() for c in word):
-        return ("v:dotted", "g:long") if "." in word else ("v:mixed", "g:long")
-    if _IDENT.match(word) and not _LETTERS.fullmatch(word):
+        before = _last_word(text[max(s, at - len(whole) - 40) : at - len(whole)].rstrip())
+        return f"n:{before.lower()[-20:]}", "g:number"
+    if not word.isalpha():
+        if any(c.isdigit() for c in word):
+            return ("v:dotted", "g:long") if "." in word else ("v:mixed", "g:long")
+        if _IDENT.match(word) and not _LETTERS.fullmatch(word):
+            return "v:ident", "g:long"
+    elif _IDENT.match(word):
         return "v:ident", "g:long"
     group = "g:inner" if "." in word else "g:short" if len(word) <= 3 else "g:long"
     return f"w:{word[-24:]}", group
@@ -159,31 +178,35 @@ def _follow(text: str, at: int, e: int) -> str:
     return "ident" if _IDENT.match(word.rstrip(".,;:!?)»”\"'")) else "lower"
 
 
-def candidates(text: str, s: int, e: int) -> list[Candidate]:
-    """The places of a block where a sentence may end, its last character apart."""
+def _char_before(text: str, s: int, at: int) -> str:
+    """The last character before ``at`` that is no white space; empty at the start."""
+    while at > s and text[at - 1].isspace():
+        at -= 1
+    return text[at - 1] if at > s else ""
+
+
+def candidates(text: str, s: int, e: int, last: int) -> Iterator[tuple[int, int, str]]:
+    """(end, code, kind) of the places of a block where a sentence may end. ``last`` is where its last character ends."""
     outer = _pairs(text, s, e)
     opens = [a for a, _ in outer]
-    last = s + len(text[s:e].rstrip(" \t\r\n\f\v﻿\xa0　"))
-    out: list[Candidate] = []
     before, skip = s, s
     for m in _CANDIDATE.finditer(text, s, e):
         a, b = m.span()
         if a < skip:
             continue
-        k = bisect_right(opens, a) - 1
+        k = bisect_right(opens, a) - 1 if opens else -1
         inside = k >= 0 and outer[k][1] > a
-        if m["thai"]:
+        mark = m["mark"]
+        if mark is None:
             if not inside:
-                out.append(Candidate(a, "t:", "g:thai", "letter", "far", (text[max(s, a - 3) : a], text[b : b + 3])))
+                yield a, _CODES["letter", "far", "bare"], f"b:{_letters(text[max(s, a - 3) : a], -1)}|{_letters(text[b : b + 3], 1)}"
             continue
-        mark = m["mark"]
-        if set(mark) <= {".", "…"} and mark != "." or mark == "。。。":
+        if mark != "." and (mark == "。。。" or not mark.strip(".…")):
             continue  # an ellipsis alone
         end = b
         if inside:
             close = outer[k][1]
-            gap = text[b:close]
-            if gap.strip(" \xa0 " + CLOSERS):
+            if _CLOSING.match(text, b, close).end() < close:
                 continue
             end = close + 1
         while end < last and text[end] in CLOSERS and not (text[end] in OPENERS or text[end] == '"' and bisect_right(opens, end) > k + 1 + (not inside)):
@@ -192,14 +215,14 @@ def candidates(text: str, s: int, e: int) -> list[Candidate]:
         if end < last:
             c = text[end]
             wide = mark[-1] in WIDE_MARKS or text[end - 1] in "」』”）】》〉"
-            if not (c.isspace() or c == "﻿" or wide and (c.isalnum() or c in OPENERS or c == '"')):
+            if not (c.isspace() or c == "\ufeff" or wide and (c.isalnum() or c in OPENERS or c == '"')):
                 continue
-            if c.isspace() and text[end:last].lstrip()[:1] in ("，", "、", ",", ";", ":", "；", "："):
+            if c.isspace() and (after := _SPACE.match(text, end, last).end()) < last and text[after] in "，、,;:；：":
                 continue
         if inside:
-            p = text[s : outer[k][0]].rstrip(" \xa0 \n\r\t")
+            p = _char_before(text, s, outer[k][0])
             bracket = text[outer[k][0]] in "(（[【"
-            intro = "start" if not p or p[-1] in ".!?…" + WIDE_MARKS + CLOSERS else p[-1] if p[-1] in ":：,，、" else "none"
+            intro = "start" if not p or p in ".!?…" + WIDE_MARKS + CLOSERS else p if p in ":：,，、" else "none"
             kind, group = f"q:{intro}{'' if bracket else mark[-1]}{text[outer[k][1]]}", f"q:{intro}"
         elif mark == ".":
             kind, group = _word_kind(text, s, a)
@@ -207,141 +230,243 @@ def candidates(text: str, s: int, e: int) -> list[Candidate]:
             kind, group = f"m:{mark[-1]}", "m:"
         gap = "near" if end - before <= 5 else "mid" if end - before <= 14 else "far"
         before = end
-        out.append(Candidate(min(end, last), kind, group, "end" if end >= last else _follow(text, end, e), gap))
-    return out
+        yield min(end, last), _CODES["end" if end >= last else _follow(text, end, e), gap, group], kind
+
+
+def _letters(text: str, side: int) -> str:
+    """The run of Thai or Lao letters at an end of a text: its last ones for side -1."""
+    run = ""
+    for c in text[::side]:
+        if not _LETTER.match(c):
+            break
+        run += c
+    return run[::side]
+
+
+def places(text: str) -> Iterator[tuple[int, int, str]]:
+    """(end, code, kind) of all candidates and of the last character of each block, in order."""
+    for kind, s, e in blocks(text):
+        last = e
+        while last > s and (text[last - 1].isspace() or text[last - 1] == "\ufeff"):
+            last -= 1
+        if kind in ("text", "item"):
+            yield from candidates(text, s, e, last)
+        if last > s:
+            yield last, LAST, ""
 
 
 @dataclass
 class Model:
-    """Log odds of boundary against inside."""
+    """Log odds of boundary against inside. ``kinds`` is None where they are joined to the candidates."""
 
-    kinds: dict[str, float] = field(default_factory=dict)
+    kinds: dict[str, float] | None = field(default_factory=dict)
     groups: dict[str, float] = field(default_factory=dict)
     follows: dict[str, float] = field(default_factory=dict)
     steps: dict[tuple[str, int, int], float] = field(default_factory=dict)  # log P(tag | tag before, gap)
-    thai: dict[str, float] = field(default_factory=dict)
-
-    def kind(self, c: Candidate) -> float:
-        return self.kinds.get(c.kind, self.groups.get(c.group, 0.0))
-
-    def emission(self, c: Candidate) -> float:
-        if c.thai:
-            left = sum(self.thai.get(f"<{c.thai[0][-n:]}", 0.0) for n in (1, 2, 3))
-            right = sum(self.thai.get(f">{c.thai[1][:n]}", 0.0) for n in (1, 2, 3))
-            return THAI_BLANK + max(-CLIP, min(CLIP, left + right))
-        return self.kind(c) + self.follows.get(c.follow, 0.0)
-
-    def viterbi(self, cs: list[Candidate]) -> list[int]:
+    letters: dict[str, float] = field(default_factory=dict)
+    table: DataFrame | None = None  # kind, odds
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def known(self, code: int, kind: str, odds: float | None) -> float:
+        """The score of a candidate's kind; ``odds`` is its own one, where kinds are joined."""
+        if self.kinds is not None:
+            odds = self.kinds.get(kind)
+        return self.groups.get(GROUPS[code >> 5], 0.0) if odds is None else odds
+
+    def emission(self, code: int, kind: str, odds: float | None) -> float:
+        if code >> 5 == _BARE:
+            left, right = kind[2:].split("|")
+            said = sum(self.letters.get(f"<{left[-n:]}", 0.0) for n in range(1, len(left) + 1)) + sum(self.letters.get(f">{right[:n]}", 0.0) for n in range(1, len(right) + 1))
+            return BLANK + max(-CLIP, min(CLIP, said))
+        return self.known(code, kind, odds) + self.follows.get(FOLLOWS[code & 7], 0.0)
+
+    def viterbi(self, codes: list[int], emissions: list[float]) -> list[int]:
         """The best tags (1: boundary). The start of a block counts as following a boundary."""
-        score, back = [-math.inf, 0.0], []
-        for c in cs:
-            e = (0.0, self.emission(c))
-            step = [[self.steps.get((c.gap, p, t), math.log(0.5)) for t in (0, 1)] for p in (0, 1)]
-            came = [max((0, 1), key=lambda p: score[p] + step[p][t]) for t in (0, 1)]
-            score = [score[came[t]] + step[came[t]][t] + e[t] for t in (0, 1)]
-            back.append(came)
-        tag, tags = int(score[1] > score[0]), []
+        even = math.log(0.5)
+        inside, ends, back = -math.inf, 0.0, []
+        for code, e in zip(codes, emissions):
+            (s00, s01), (s10, s11) = self._steps.get(code >> 3 & 3, ((even, even), (even, even)))
+            to0, to1 = ends + s10 > inside + s00, ends + s11 > inside + s01
+            inside, ends = (ends + s10 if to0 else inside + s00), (ends + s11 if to1 else inside + s01) + e
+            back.append((to0, to1))
+        tag, tags = ends > inside, []
         for came in reversed(back):
-            tags.append(tag)
+            tags.append(int(tag))
             tag = came[tag]
         return tags[::-1]
 
+    @property
+    def _steps(self) -> dict[int, tuple]:
+        if (held := self.__dict__.get("_held")) is None:
+            held = self.__dict__["_held"] = {i: tuple(tuple(self.steps[g, p, t] for t in (0, 1)) for p in (0, 1)) for i, g in enumerate(GAPS) if (g, 0, 0) in self.steps}
+        return held
+
+    def ends(self, at: list[int], codes: list[int], kinds: list[str], odds: list[float | None] | None = None) -> list[int]:
+        """The indexes of those places that end a sentence."""
+        out, mine = [], []
+        for i, code in enumerate(codes):
+            if code != LAST:
+                if code & 7:  # not the last of its block
+                    mine.append(i)
+                continue
+            if mine:
+                mine = [j for j in mine if at[j] < at[i]]
+                tags = self.viterbi([codes[j] for j in mine], [self.emission(codes[j], kinds[j], odds[j] if odds else None) for j in mine])
+                out += [j for j, tag in zip(mine, tags) if tag]
+                mine = []
+            out.append(i)
+        return out
+
 
 def sentence_ends(text: str, model: Model) -> list[int]:
-    ends = []
-    for kind, s, e in blocks(text):
-        last = s + len(text[s:e].rstrip(" \t\r\n\f\v﻿\xa0　  "))
-        while last > s and (text[last - 1].isspace() or text[last - 1] == "﻿"):
-            last -= 1
-        if kind in ("text", "item"):
-            cs = [c for c in candidates(text, s, e) if c.follow != "end" and c.end < last]
-            ends += [c.end for c, tag in zip(cs, model.viterbi(cs)) if tag]
-        if last > s:
-            ends.append(last)
-    return ends
+    found = list(places(text))
+    if not found:
+        return []
+    at, codes, kinds = map(list, zip(*found))
+    return [at[i] for i in model.ends(at, codes, kinds)]
 
 
-def _kinds_of(text: str, seen: Counter) -> None:
-    """Counts each kind and group: at a block's end ("e") and in all ("n"); and Thai letters at and off boundaries."""
+def _count_letters(text: str, seen: Counter) -> None:
+    """Counts runs of Thai and Lao letters before and after each place of blank-stripped text: at boundaries ("e") or not."""
     for kind, s, e in blocks(text):
-        if kind not in ("text", "item"):
+        if kind not in ("text", "item") or not _LETTER.search(text, s, e):
             continue
-        cs = candidates(text, s, e)
-        for c in cs:
-            for k in {c.kind, c.group}:
-                seen[k, "n"] += 1
-                seen[k, "e"] += c.follow == "end"
-        thai = [c for c in cs if c.thai]
-        if thai:
-            bare, at = [], set()
-            begin = s
-            for c in thai:
-                bare.append(text[begin : c.end])
-                begin = c.end + len(re.match(r"\s*", text[c.end : e])[0])
-                at.add(sum(map(len, bare)))
-            stripped = "".join(bare) + text[begin:e]
-            for i in range(1, len(stripped)):
+        bare, at, size, begin = [], set(), 0, s
+        for end, code, _ in candidates(text, s, e, e):
+            if code >> 5 == _BARE:
+                bare.append(text[begin:end])
+                size += end - begin
+                begin = _SPACE.match(text, end, e).end()
+                at.add(size)
+        stripped = "".join(bare) + text[begin:e]
+        is_letter = [bool(_LETTER.match(c)) for c in stripped]
+        for i in range(1, len(stripped)):
+            if is_letter[i - 1] and is_letter[i]:
                 b = "e" if i in at else "n"
                 for n in (1, 2, 3):
-                    seen[f"<{stripped[max(0, i - n) : i]}", b] += 1
-                    seen[f">{stripped[i : i + n]}", b] += 1
+                    if i >= n and is_letter[i - n]:
+                        seen[f"<{stripped[i - n : i]}", b] += 1
+                    else:
+                        break
+                for n in (1, 2, 3):
+                    if i + n <= len(stripped) and is_letter[i + n - 1]:
+                        seen[f">{stripped[i : i + n]}", b] += 1
+                    else:
+                        break
 
 
-def _counted(df: DataFrame, text: str, work) -> DataFrame:
-    """``key, what, n`` summed over all texts; every batch is counted before it is shuffled."""
+def _counted(df: DataFrame, work) -> DataFrame:
+    """``key, what, n`` summed over all rows; every batch is counted before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                if t:
-                    work(t, seen)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                work(*row, seen)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen]), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], names=["key", "what", "n"])
 
-    return spread(df.select(text)).mapInArrow(run, "key string, what string, n long").groupBy("key", "what").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "key string, what string, n long").groupBy("key", "what").agg(F.sum("n").alias("n"))
 
 
-def train(documents: DataFrame, text: str = "text") -> Model:
-    """Counts the model over all documents. What reaches the driver is the model: kinds that deviate from their class."""
-    table = cut(_counted(documents, text, _kinds_of).groupBy("key").pivot("what", ["e", "n"]).agg(F.first("n")).na.fill(0))
-    strong = table.where(F.col("key").startswith("m:")).agg(F.sum("e").alias("e"), F.sum("n").alias("n")).first()
-    rate = min(0.9, max(0.02, ((strong.e or 0) + 1) / ((strong.n or 0) + 5)))
-    odds = F.col("e") * math.log(rate / NEVER) + (F.col("n") - F.col("e")) * math.log((1 - rate) / (1 - NEVER))
-    marks = table.where(~F.substring("key", 1, 1).isin("<", ">")).withColumn("odds", odds)
-    chosen = marks.where(F.col("key").startswith("g:") | F.col("key").startswith("q:") | (F.col("n") >= 4) & (F.col("odds") < CERTAIN) | (F.col("n") >= 200))
-    model = Model()
-    for r in chosen.orderBy(F.desc("n"), "key").limit(MOST_KINDS).collect():
-        longer = LONG_WORD if r.key.startswith("w:") and len(r.key) > 5 and "." not in r.key else 0.0
-        value = max(-CLIP, min(CLIP, r.odds + longer))
-        if r.key[:2] == "g:" or r.key in ("q:start", "q:none", "q::", "q:：", "q:,", "q:，", "q:、", "m:"):
-            model.groups[r.key] = max(-1.0, min(3.0, value))
-        else:
-            model.kinds[r.key] = value
-    for r in table.where(F.substring("key", 1, 1).isin("<", ">") & (F.col("e") + F.col("n") >= 3)).orderBy(F.desc("n"), "key").limit(MOST_KINDS).collect():
-        model.thai[r.key] = max(-2.0, min(2.0, math.log((r.e + 0.5) / (r.n + 0.5)) + 3.0))
+def find_places(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, row, at, next, code, kind``: the candidates and block ends of each text with any, the first step of all others.
 
-    def certain(t: str, seen: Counter) -> None:
-        for kind, s, e in blocks(t):
-            if kind not in ("text", "item"):
+    ``next`` is where the first character after a place stands that is no white space; the first entry of all lists but
+    ``next`` is empty, so that ``next`` begins with where the text does.
+    """
+    src = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
+    schema = T.StructType([T.StructField("key", src.schema["key"].dataType), *(T.StructField(c, T.ArrayType(k)) for c, k in (("at", T.IntegerType()), ("next", T.IntegerType()), ("code", T.IntegerType()), ("kind", T.StringType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, out = [], ([], [], [], [])
+            for i, t in enumerate(b.column("text").to_pylist()):
+                found = list(places(t))
+                if found:
+                    at, codes, kinds = map(list, zip(*found))
+                    nxt = [_SPACE.match(t, a).end() for a in (0, *at)]
+                    rows.append(i)
+                    for column, values in zip(out, (at, nxt, codes, kinds)):
+                        column.append(values)
+            if rows:
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), *(pa.array(c, k) for c, k in zip(out, (ints, ints, ints, pa.list_(pa.string()))))], names=["key", "at", "next", "code", "kind"])
+
+    return src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _with_odds(found: DataFrame, model: Model) -> DataFrame:
+    """``found`` with ``odds``: each candidate's own score, joined where tasks don't hold the list of kinds."""
+    if model.kinds is not None:
+        return found.withColumn("odds", F.lit(None).cast("array<double>"))
+    each = found.select("row", F.posexplode("kind").alias("i", "kind")).join(model.table, "kind")
+    own = each.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "odds"))).alias("own"))
+    odds = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.col("own")[i])
+    return found.join(own, "row", "left").withColumn("odds", F.when(F.col("own").isNotNull(), odds)).drop("own")
+
+
+def train(documents: DataFrame, text: str = "text", *, found: DataFrame | None = None) -> Model:
+    """Counts the model over all documents; ``found`` are their places, if they are at hand.
+
+    Every kind with evidence gets its score. Up to ``KNOWN_KINDS`` of them are held in a list, more stay a table that is
+    joined. Groups, transitions and runs of up to three letters of two alphabets are few.
+    """
+    if found is None:
+        found = cut(find_places(documents.withColumn("_row", F.monotonically_increasing_id()), "_row", text))
+    each = found.select(F.explode(F.arrays_zip("code", "kind")).alias("c")).select("c.code", "c.kind").where((F.col("code") != LAST) & (F.shiftright("code", 5) != _BARE))
+    table = cut(each.groupBy("kind", F.shiftright("code", 5).alias("grp")).agg(F.count("*").alias("n"), F.count(F.when(F.col("code").bitwiseAND(7) == 0, 1)).alias("e")))
+    groups = {GROUPS[r.grp]: r for r in table.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect()}
+    strong = groups.get("m:")
+    rate = min(0.9, max(0.02, ((strong.e if strong else 0) + 1) / ((strong.n if strong else 0) + 5)))
+    at_end, inner = math.log(rate / NEVER), math.log((1 - rate) / (1 - NEVER))
+    model = Model()
+    for name, r in groups.items():
+        model.groups[name] = max(-1.0, min(3.0, r.e * at_end + (r.n - r.e) * inner))
+    kinds = table.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    kinds = kinds.withColumn("odds", F.col("e") * at_end + (F.col("n") - F.col("e")) * inner)
+    against = (F.col("n") - F.col("e")) * -inner
+    kinds = kinds.where(F.col("kind").startswith("q:") | (F.col("odds") < CERTAIN) & (against >= EVIDENCE) | (F.col("odds") >= CLAIM))
+    longer = F.when(F.col("kind").startswith("w:") & (F.length("kind") > 5) & ~F.contains("kind", F.lit(".")), LONG_WORD).otherwise(0.0)
+    model.table = cut(kinds.select("kind", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col("odds") + longer)).alias("odds")))
+    model.kinds = {r.kind: r.odds for r in model.table.collect()} if model.table.count() <= KNOWN_KINDS else None
+
+    bare = spread(documents.select(text).where(F.col(text).rlike(f"[{''.join(BLANK_SCRIPTS)}]")))
+    letters: dict[str, list[int]] = {}
+    for r in _counted(bare, _count_letters).collect():  # runs of up to three letters of two alphabets
+        letters.setdefault(r.key, [0, 0])[r.what == "e"] = r.n
+    n, e = (sum(v[i] for k, v in letters.items() if k[0] == "<" and len(k) == 2) for i in (0, 1))
+    share = (e + 1) / (n + e + 2)
+    for k, (off, on) in letters.items():
+        model.letters[k] = max(-2.0, min(2.0, math.log((on + DOUBT) / ((on + off) * share + DOUBT))))  # seen against expected
+
+    def certain(codes: list[int], kinds_: list[str], odds: list[float | None] | None, seen: Counter) -> None:
+        before: int | None = 1
+        for i, code in enumerate(codes):
+            if code == LAST:
+                before = 1
+                continue
+            if code >> 5 == _BARE:
+                before = 1
                 continue
-            before = 1
-            for c in candidates(t, s, e):
-                odds_ = model.kind(c)
-                tag = 1 if c.follow == "end" or c.thai else int(odds_ > 0) if abs(odds_) >= CERTAIN else None
-                if tag is not None and not c.thai:
-                    if c.follow != "end":
-                        seen[f"f {c.follow}", str(tag)] += 1
-                    if before is not None:
-                        seen[f"s {c.gap} {before}", str(tag)] += 1
-                before = tag
-
-    seen = {(r.key, r.what): r.n for r in _counted(documents, text, certain).collect()}
+            own = model.known(code, kinds_[i], odds[i] if odds else None)
+            follow = FOLLOWS[code & 7]
+            tag = 1 if follow == "end" else int(own > 0) if abs(own) >= CERTAIN else None
+            if tag is not None:
+                if follow != "end":
+                    seen[f"f {follow}", str(tag)] += 1
+                if before is not None:
+                    seen[f"s {GAPS[code >> 3 & 3]} {before}", str(tag)] += 1
+            before = tag
+
+    seen = {(r.key, r.what): r.n for r in _counted(_with_odds(found, model).select("code", "kind", "odds"), certain).collect()}
     total = [sum(n for (k, w), n in seen.items() if k[0] == "f" and w == t) + 6 for t in "01"]
-    for f in ("upper", "lower", "ident", "digit", "open", "letter"):
+    for f in FOLLOWS[1:]:
         no, yes = (seen.get((f"f {f}", t), 0) + 1 for t in "01")
         model.follows[f] = max(-3.0, min(3.0, math.log(yes / total[1]) - math.log(no / total[0])))
-    for gap in ("near", "mid", "far"):
+    for gap in GAPS:
         for p in (0, 1):
             n = [seen.get((f"s {gap} {p}", t), 0) + 5 for t in "01"]
             for t in (0, 1):
@@ -353,24 +478,22 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
     """``key, sent_no, sent_start, sent_end``: each sentence of each text in order, in code points.
 
     ``sent_start`` is its first and ``sent_end`` the place after its last character that is not white space. Null, empty and
-    blank texts have no sentence. Rows repeated exactly count once. Texts are read whole, whatever their length.
+    blank texts have no sentence. Rows repeated exactly count once. Texts are read whole, whatever their length; the work
+    is linear in it.
     """
-    model = model or train(documents, text)
-    src = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
-    schema = T.StructType([T.StructField(key, src.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("sent_no", "sent_start", "sent_end"))])
+    found = cut(find_places(documents, key, text))
+    model = model or train(documents, text, found=found)
+    schema = T.StructType([T.StructField(key, found.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("sent_no", "sent_start", "sent_end"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, no, start, end = [], [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                ends = sentence_ends(t, model)
-                begin = 0
-                for k, e in enumerate(ends):
-                    while t[begin].isspace() or t[begin] == "﻿":
-                        begin += 1
-                    at.append(i), no.append(k), start.append(begin), end.append(e)
-                    begin = e
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), *(pa.array(v, pa.int64()) for v in (no, start, end))], names=[key, "sent_no", "sent_start", "sent_end"])
-
-    return src.mapInArrow(run, schema).distinct()
+            rows, no, start, end = [], [], [], []
+            for i, (at, nxt, codes, kinds, odds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "next", "code", "kind", "odds")))):
+                begin = nxt[0]
+                for k, j in enumerate(model.ends(at, codes, kinds, odds)):
+                    rows.append(i), no.append(k), start.append(begin), end.append(at[j])
+                    begin = nxt[j + 1]
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), *(pa.array(v, pa.int64()) for v in (no, start, end))], names=[key, "sent_no", "sent_start", "sent_end"])
+
+    return _with_odds(found, model).select("key", "at", "next", "code", "kind", "odds").mapInArrow(run, schema).distinct()

@@ -68,5 +68,49 @@ def test_rows(spark, model):
     assert sorted(by[1]) == [(0, 0, 16), (1, 17, 28)] and set(by) == {1, 5} and len(by[5]) == 5000
 
 
+def test_letters_may_overrule_a_blank():
+    """A blank between Thai letters is an end by its prior alone, and none where the letters on both sides speak against it."""
+    here, there = "กขค งจฉ", "ชซฌ ญฎฏ"
+    against = {f"<{'กขค'[-n:]}": -2.0 for n in (1, 2, 3)} | {f">{'งจฉ'[:n]}": -2.0 for n in (1, 2, 3)}
+    assert sn.BLANK < sn.CLIP and sn.sentence_ends(here, sn.Model()) == [3, 7]
+    assert sn.sentence_ends(here, sn.Model(letters=against)) == [7] and sn.sentence_ends(there, sn.Model(letters=against)) == [3, 7]
+
+
+def test_letters_are_learnt(spark):
+    """Where a word is written with a blank inside it now and then, its letters outweigh the blank; elsewhere they confirm it."""
+    texts = ["กขคงจฉชซ ญฎฏฐฑฒ" for _ in range(300)] + ["ญฎฏฐฑฒ กขคงจฉชซ" for _ in range(300)] + ["กขค งจฉชซ"]
+    model = sn.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sn.sentence_ends("กขคงจฉชซ ญฎฏฐฑฒ", model) == [8, 15] and sn.sentence_ends("กขค งจฉชซ", model) == [9]
+
+
+@pytest.mark.parametrize("text", ["ខ្ញុំទៅផ្ទះ។ គាត់មក។", "ကျွန်တော်သွားတယ်။ သူလာတယ်။", "ሰላም ነው። ደህና ነኝ።", "Սա տուն է։ Նա եկավ։", "བོད་ཡིག།  ཡིན་ནོ།", "ລາວມາແລ້ວ ຂ້ອຍໄປ"])
+def test_further_scripts(model, text):
+    assert len(sn.sentence_ends(text, model)) == 2
+
+
+def test_cost_is_linear(model):
+    """Long paragraphs of any kind take time in proportion to their length."""
+    import time
+
+    for unit in ("The cache (see it) is full. ", "ระบบเก็บไว้แล้ว ", "(((a “b. ", "说：“节点正常！”。", "Fig. 4 "):
+        took = []
+        for n in (125_000, 500_000):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            sn.sentence_ends(text, model)
+            seen = sn.Counter()
+            sn._count_letters(text, seen)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5, unit
+
+
+def test_joined_kinds(spark, model, monkeypatch):
+    """Kinds beyond what tasks hold as a list are joined, with the same result."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    want = sorted(map(tuple, sn.split_sentences(docs).collect()))
+    monkeypatch.setattr(sn, "KNOWN_KINDS", 0)
+    assert sorted(map(tuple, sn.split_sentences(docs).collect())) == want
+
+
 def test_empty(spark):
     assert sn.split_sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
