@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codequarry.session import spread
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"  #: where neither the caller nor the session names a file
+SETTING = "spark.codequarry.vocabulary"  #: the session's setting: a path all executors have, or the name of a file added by addFile
 #: The word pattern of the vocabulary. White space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = np.int64(1) << 40
@@ -118,9 +121,18 @@ class PairIndexEncoder:
         return ids, np.concatenate([[0], np.cumsum(alive)])[begins]
 
 
+def vocabulary_of(spark: SparkSession, given: str | None = None) -> str:
+    """The vocabulary file: the one given, else the session's setting, else the default."""
+    return given or spark.conf.get(SETTING, VOCABULARY)
+
+
+def _there(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PairIndexEncoder:
-    return PairIndexEncoder(path)
+    return PairIndexEncoder(_there(path))
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +166,14 @@ def _flushes(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
     """``key, ids``: the token ids of each row's text, without special tokens; their strings in a text are ordinary text.
 
     Null and empty texts have an empty list. Every row of the input, repeated ones too, gives one row; other columns are
     left out. A text is never cut: a very long one is just held alone.
     """
     src = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    vocabulary = vocabulary_of(df.sparkSession, vocabulary)
     schema = T.StructType([T.StructField(key, src.schema["key"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +185,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, voc
     return src.mapInArrow(run, schema)
 
 
-def count_tokens(df: DataFrame, keep: list[str], text: str = "text", *, vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
+def count_tokens(df: DataFrame, keep: list[str], text: str = "text", *, vocabulary: str | None = None, out: str = "n_tokens") -> DataFrame:
     """The columns ``keep`` and the number of tokens of each row's text; nulls count 0. Rows stay in their partitions."""
     src = df.select(*keep, F.col(text).alias("__text"))
+    vocabulary = vocabulary_of(df.sparkSession, vocabulary)
     schema = T.StructType([*src.drop("__text").schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,14 +45,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("weight", mix.letter_share("text"))
+    return mix.mix_sources(docs, table(spark, d, "mix_targets"), weight="weight")
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix, each with how often it is used."""
-    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return _mixed(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of each source."""
-    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return _mixed(spark, d)[1]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,21 @@ def test_any_texts(texts):
     assert [t.decode(g, skip_special_tokens=False) for g in got] == texts
 
 
+def test_vocabulary_is_a_setting(spark, tmp_path):
+    """The file may come from the session's setting, or by name from the files that the session ships."""
+    import shutil
+
+    shutil.copy(VOCABULARY, tmp_path / "own_vocabulary.json")
+    spark.sparkContext.addFile(str(tmp_path / "own_vocabulary.json"))
+    docs = spark.createDataFrame([(1, "the cache")], "doc_id long, text string")
+    spark.conf.set(encode.SETTING, "own_vocabulary.json")
+    try:
+        assert encode.vocabulary_of(spark) == "own_vocabulary.json" and encode.vocabulary_of(spark, "x") == "x"
+        assert encode.encode_corpus(docs).first().ids == ours(["the cache"])[0]
+    finally:
+        spark.conf.unset(encode.SETTING)
+
+
 def test_spark_rows(spark):
     rows = [(1, "the cache", "k", "t"), (2, None, "k", "t"), (3, "", "k", "t"), (3, "", "k", "t"), (None, "the cache", "k", "t")]
     got = encode.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, key string, ids string"))
@@ -78,15 +93,50 @@ def test_total_and_cap(spark):
     assert mix.mix_sources(docs, targets, total_tokens=size + size // 2)[0].selectExpr("max(repeats)").first()[0] == 2
 
 
-def test_quality_leads(spark):
-    """Better texts are drawn more often: whole words against punctuation."""
-    rows = [(i, f"clean words of text number {i} that read well enough for the sample", "a", "h", 1.0) for i in range(400)]
-    rows += [(1000 + i, f"{i} ?! -- ;; :: ,, ((( ))) *** ### %%% $$$ @@@ ~~~ === +++ ...", "a", "h", 1.0) for i in range(400)]
-    targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
-    docs = spark.createDataFrame(rows, DOCS)
-    total = mix.mix_sources(docs, targets)[1].first().tokens_available // 4
-    got = [x.doc_id for x in mix.mix_sources(docs, targets, total_tokens=total)[0].collect()]
-    assert sum(d < 1000 for d in got) > 2 * sum(d >= 1000 for d in got)
+def test_weights_lead(spark):
+    """Heavier texts are drawn more often; texts of no weight only when all others are used."""
+    rows = [(i, f"words of text number {i} that read well enough", "a", "h", 8.0 if i < 300 else 1.0 if i < 600 else (None, 0.0, -1.0, float("nan"))[i % 4]) for i in range(900)]
+    targets, docs = spark.createDataFrame([("a", 1.0, 1)], TARGETS), spark.createDataFrame(rows, DOCS)
+    total = mix.mix_sources(docs, targets)[1].first().tokens_available
+    got = [x.doc_id for x in mix.mix_sources(docs, targets, weight="quality", total_tokens=total // 4)[0].collect()]
+    assert sum(d < 300 for d in got) > 3 * sum(300 <= d < 600 for d in got) > 0 and max(got) < 600
+    most = {x.doc_id for x in mix.mix_sources(docs, targets, weight="quality", total_tokens=int(total * 0.8))[0].collect()}
+    assert most > set(range(600)) and len(most) < 800
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_same_as_in_order(spark, reference, monkeypatch, weight):
+    """On the given tables: tokens by the public library, and texts taken one by one in order of their keys."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("weight", mix.letter_share("text"))
+    targets = spark.read.parquet("/root/testdata/sf0.01/mix_targets.parquet")
+    want = [(r.source.strip().lower(), r.target_weight, r.max_repeats) for r in targets.collect()]
+    first: dict = {}
+    for r in docs.orderBy("doc_id").collect():
+        s = (r.source or "").strip().lower()
+        if r.text and s in {w[0] for w in want}:
+            first.setdefault(r.text, (r.doc_id, s))
+    keys = {r.doc_id: r.key for r in mix.usable_texts(docs, targets, weight=weight).collect()}
+    by = {w[0]: [] for w in want}
+    for text, (i, s) in first.items():
+        by[s].append((keys[i], i, len(reference.encode(text, add_special_tokens=False).ids)))
+    have = {s: sum(n for *_, n in t) for s, t in by.items()}
+    assert len(keys) == sum(map(len, by.values()))
+    mine, report = {}, {}
+    for s, w, r, size, budget, epochs, rest in mix.budgets(have, want):
+        at = used = 0
+        for _, i, n in sorted(by[s]):
+            repeats = epochs + (at + n / 2 <= rest)
+            at += n
+            if repeats:
+                mine[i], used = (s, n, repeats), used + n * repeats
+        report[s] = (w, r, size, used)
+        assert abs(used - budget) <= max((n for *_, n in by[s]), default=0)
+    monkeypatch.setattr(mix, "SMALL", 3)  # several levels of buckets
+    m, shares = mix.mix_sources(docs, targets, weight=weight)
+    assert {r.doc_id: (r.source, r.n_tokens, r.repeats) for r in m.collect()} == mine
+    whole = sum(v[3] for v in report.values())
+    for x in shares.collect():
+        assert (x.target_weight, x.max_repeats, x.tokens_available, x.tokens_used) == report[x.source] and abs(x.actual_share - x.tokens_used / whole) < 1e-12
 
 
 def test_mix_empty(spark):
