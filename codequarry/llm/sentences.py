@@ -54,6 +54,7 @@ _ITEM = re.compile(r"\s*(?:[-*]|\d{1,9}[.)])[ \t\xa0]+(?=\S)")
 _BLANK = "|".join(rf"(?<=[{x}])[ \t\xa0]+(?=[{x}])" for x in BLANK_SCRIPTS)
 _CANDIDATE = re.compile(rf"(?P<mark>[.!?…{WIDE_MARKS}]+)|(?P<bare>{_BLANK})")
 _LETTER = re.compile(f"[{''.join(BLANK_SCRIPTS)}]")
+_RUN = re.compile(f"[{''.join(BLANK_SCRIPTS)}]+")
 _QUOTE = re.compile("[" + re.escape("".join(OPENERS) + "".join(OPENERS.values()) + '"') + "]")
 _IDENT = re.compile(r"[A-Za-z_$][\w$./-]*(?:[a-z0-9][A-Z]|[._/][A-Za-z]|\(\))[\w$./()-]*\Z")
 _LETTERS = re.compile(r"(?:\w{1,2}\.)+\w{1,2}")
@@ -117,11 +118,11 @@ def blocks(text: str) -> list[tuple[str, int, int]]:
 def _pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     """Outermost (open, close) positions of matched quotes and brackets. Unmatched ones count as nothing."""
     stack: list[tuple[str, int]] = []
-    waits: Counter = Counter()
+    waits: dict[str, int] = {}
     found = []
     for m in _QUOTE.finditer(text, s, e):
         c, at = m[0], m.start()
-        if waits[c]:
+        if waits.get(c):
             while True:
                 want, begin = stack.pop()
                 waits[want] -= 1
@@ -130,7 +131,9 @@ def _pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
             found.append((begin, at))
         elif c == '"' or c in OPENERS and not (c in "‘‚" and at > s and text[at - 1].isalnum()):
             stack.append((OPENERS.get(c, c), at))
-            waits[OPENERS.get(c, c)] += 1
+            waits[OPENERS.get(c, c)] = waits.get(OPENERS.get(c, c), 0) + 1
+    if not found:
+        return found
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -235,12 +238,8 @@ def candidates(text: str, s: int, e: int, last: int) -> Iterator[tuple[int, int,
 
 def _letters(text: str, side: int) -> str:
     """The run of Thai or Lao letters at an end of a text: its last ones for side -1."""
-    run = ""
-    for c in text[::side]:
-        if not _LETTER.match(c):
-            break
-        run += c
-    return run[::side]
+    runs = _RUN.findall(text)
+    return runs[-1 if side < 0 else 0]
 
 
 def places(text: str) -> Iterator[tuple[int, int, str]]:
@@ -311,8 +310,8 @@ class Model:
                 if code & 7:  # not the last of its block
                     mine.append(i)
                 continue
+            mine = [j for j in mine if at[j] < at[i]]
             if mine:
-                mine = [j for j in mine if at[j] < at[i]]
                 tags = self.viterbi([codes[j] for j in mine], [self.emission(codes[j], kinds[j], odds[j] if odds else None) for j in mine])
                 out += [j for j, tag in zip(mine, tags) if tag]
                 mine = []
@@ -341,20 +340,14 @@ def _count_letters(text: str, seen: Counter) -> None:
                 begin = _SPACE.match(text, end, e).end()
                 at.add(size)
         stripped = "".join(bare) + text[begin:e]
-        is_letter = [bool(_LETTER.match(c)) for c in stripped]
-        for i in range(1, len(stripped)):
-            if is_letter[i - 1] and is_letter[i]:
+        for run in _RUN.finditer(stripped):
+            a, z = run.span()
+            for i in range(a + 1, z):
                 b = "e" if i in at else "n"
-                for n in (1, 2, 3):
-                    if i >= n and is_letter[i - n]:
-                        seen[f"<{stripped[i - n : i]}", b] += 1
-                    else:
-                        break
-                for n in (1, 2, 3):
-                    if i + n <= len(stripped) and is_letter[i + n - 1]:
-                        seen[f">{stripped[i : i + n]}", b] += 1
-                    else:
-                        break
+                for n in range(1, min(3, i - a) + 1):
+                    seen["<" + stripped[i - n : i], b] += 1
+                for n in range(1, min(3, z - i) + 1):
+                    seen[">" + stripped[i : i + n], b] += 1
 
 
 def _counted(df: DataFrame, work) -> DataFrame:
@@ -416,7 +409,7 @@ def train(documents: DataFrame, text: str = "text", *, found: DataFrame | None =
     """
     if found is None:
         found = cut(find_places(documents.withColumn("_row", F.monotonically_increasing_id()), "_row", text))
-    each = found.select(F.explode(F.arrays_zip("code", "kind")).alias("c")).select("c.code", "c.kind").where((F.col("code") != LAST) & (F.shiftright("code", 5) != _BARE))
+    each = found.select(F.inline(F.arrays_zip("code", "kind"))).where((F.col("code") != LAST) & (F.shiftright("code", 5) != _BARE))
     table = cut(each.groupBy("kind", F.shiftright("code", 5).alias("grp")).agg(F.count("*").alias("n"), F.count(F.when(F.col("code").bitwiseAND(7) == 0, 1)).alias("e")))
     groups = {GROUPS[r.grp]: r for r in table.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect()}
     strong = groups.get("m:")
