@@ -122,3 +122,8 @@ def command(c: str | Column) -> Column:
 
 def command_arguments(c: str | Column) -> Column:
     return strip(F.regexp_replace(strip(c), r"^\S+", ""))
+
+
+def holds_html(text: str | Column) -> Column:
+    """Whether a text holds a page, by its document type in any case. Null holds none."""
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike("(?i)<!doctype html>"), F.lit(False))

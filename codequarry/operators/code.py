@@ -13,19 +13,35 @@ from codequarry.functions.text import strip
 
 #: Words before a parenthesis that are no calls, and what directly before a name makes it a declaration.
 NO_CALLS = {
-    "python": "if while for try except finally with return raise import from as def class lambda assert pass break continue "
-    "global nonlocal yield async await print len range str int float list dict set tuple bool type isinstance hasattr getattr "
-    "setattr open input enumerate zip map filter",
-    "go": "if else for switch case default return break continue fallthrough goto go defer chan map make new append copy delete "
-    "panic recover close len cap real imag complex print println printf fmt os package import func type struct interface const var",
-    "javascript": "if while for switch catch return throw new typeof instanceof import export from default const let var function "
-    "class extends implements interface type enum async await yield static public private protected readonly get set",
-}
+    "python": (
+        "if", "while", "for", "try", "except", "finally", "with", "return", "raise", "import", "from", "as", "def", "class",
+        "lambda", "assert", "pass", "break", "continue", "global", "nonlocal", "yield", "async", "await", "print", "len",
+        "range", "str", "int", "float", "list", "dict", "set", "tuple", "bool", "type", "isinstance", "hasattr", "getattr",
+        "setattr", "open", "input", "enumerate", "zip", "map", "filter",
+    ),
+    "go": (
+        "if", "else", "for", "switch", "case", "default", "return", "break", "continue", "fallthrough", "goto", "go",
+        "defer", "chan", "map", "make", "new", "append", "copy", "delete", "panic", "recover", "close", "len", "cap", "real",
+        "imag", "complex", "print", "println", "printf", "fmt", "os", "package", "import", "func", "type", "struct",
+        "interface", "const", "var",
+    ),
+    "javascript": (
+        "if", "while", "for", "switch", "catch", "return", "throw", "new", "typeof", "instanceof", "import", "export",
+        "from", "default", "const", "let", "var", "function", "class", "extends", "implements", "interface", "type", "enum",
+        "async", "await", "yield", "static", "public", "private", "protected", "readonly", "get", "set",
+    ),
+}
 DECLARES = {
-    "python": "def class import from",
-    "go": "func type const var",
-    "javascript": "function const let var class import export if while for return throw new",
-}
+    "python": (
+        "def", "class", "import", "from",
+    ),
+    "go": (
+        "func", "type", "const", "var",
+    ),
+    "javascript": (
+        "function", "const", "let", "var", "class", "import", "export", "if", "while", "for", "return", "throw", "new",
+    ),
+}
 DOTTED_CALL = r"([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\("
 PLAIN_CALL = r"([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
 
@@ -117,20 +133,17 @@ def extract_calls(sources: DataFrame, keys: list[str], content: str = "content",
     Offsets come from the lengths of what lies between the matches, so no Python is needed.
     """
     lines = source_lines(sources.withColumn("_family", family(language)), [*keys, "_family"], content, r"[a-zA-Z0-9_]\s*\(")
-    parts = []
-    for lang in ("javascript", "python", "go"):
-        pattern = PLAIN_CALL if lang == "python" else DOTTED_CALL
-        own = lines.where(F.col("_family") == lang)
-        own = own.withColumn("whole", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).withColumn("gaps", F.split("text", pattern, -1))
-        own = own.withColumn("names", F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-        sized = F.zip_with(F.slice("gaps", 1, F.size("whole")), "whole", lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
-        offsets = F.aggregate(sized, start, lambda s, x: F.struct((s["at"] + x["g"] + x["w"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["g"])).alias("all")))["all"]
-        calls = F.explode(F.arrays_zip(F.col("names").alias("name"), offsets.alias("column"))).alias("c")
-        own = own.select(*keys, "line", "text", calls).select(*keys, "line", "text", F.col("c.column").alias("column"), F.col("c.name").alias("name"))
-        before = strip(F.substring("text", F.lit(1), F.col("column")))
-        parts.append(own.where(~F.col("name").isin(*NO_CALLS[lang].split()) & ~before.isin(*DECLARES[lang].split())).drop("text"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fam, plain = F.col("_family"), F.col("_family") == "python"
+    found = lambda group: F.when(plain, F.regexp_extract_all("text", F.lit(PLAIN_CALL), F.lit(group))).otherwise(F.regexp_extract_all("text", F.lit(DOTTED_CALL), F.lit(group)))
+    gaps = F.when(plain, F.split("text", PLAIN_CALL, -1)).otherwise(F.split("text", DOTTED_CALL, -1))
+    own = lines.withColumn("whole", found(0)).withColumn("names", found(1)).withColumn("gaps", gaps)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    sized = F.zip_with(F.slice("gaps", 1, F.size("whole")), "whole", lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
+    offsets = F.aggregate(sized, start, lambda s, x: F.struct((s["at"] + x["g"] + x["w"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["g"])).alias("all")))["all"]
+    calls = own.select(*keys, "_family", "line", "text", F.inline(F.arrays_zip(offsets.alias("column"), F.col("names").alias("name"))))
+    before = strip(F.substring("text", F.lit(1), F.col("column")))
+    ruled = lambda c, words: F.coalesce(*[F.when(fam == k, c.isin(*w)) for k, w in words.items()])
+    return calls.where(~ruled(F.col("name"), NO_CALLS) & ~ruled(before, DECLARES)).select(*keys, "line", "column", "name")
 
 
 def find_calls(calls: DataFrame, name: str) -> DataFrame:

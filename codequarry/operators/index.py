@@ -7,6 +7,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from codequarry.session import cut
 
 DIMENSIONS = 3072
 
@@ -88,11 +91,11 @@ def local_embedding(docs: DataFrame, key: str, text: str, dimensions: int = DIME
     Keys are taken as unique. All distinct words count, however many.
     """
     words = F.filter(F.split(F.lower(text), r"[^A-Za-z0-9_]+"), lambda w: F.length(w) > 2)
-    own = docs.select(key, words.alias("ws")).where(F.size("ws") > 0)
+    own = docs.select(key, words.alias("ws")).where(F.size("ws") > 0).repartition(key)  # the one shuffle: all that follows is by key
     freq = own.select(key, F.size("ws").alias("n"), F.explode("ws").alias("w")).groupBy(key, "n", "w").agg(F.count("*").alias("c"))
     slots = freq.groupBy(key, word_slot("w", dimensions).alias("slot")).agg(F.sum(F.col("c") / F.col("n")).alias("x"))
-    norm = slots.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return slots.join(norm, key).select(key, "slot", (F.col("x") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
+    return slots.select(key, "slot", (F.col("x") / norm).alias("weight"))
 
 
 def embedding_topk(vectors: DataFrame, key: str, query: DataFrame, k: int) -> DataFrame:
@@ -168,19 +171,35 @@ def split_messages(rows: DataFrame, key: str, text: str, longest: int = 3900) ->
     return whole.unionByName(src.mapInArrow(run, f"{key} string, piece_no int, piece string"))
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``n``: their number from 1 on within the group, in order. No task holds a whole group.
+
+    Rows are sorted over all tasks by group and order, so a group that holds a third of them is spread; each task numbers its
+    own run of a group, and runs are shifted by what earlier tasks hold of it. Order must tell rows of a group apart.
+    """
+    low = (1 << 33) - 1
+    at = cut(rows.orderBy(group, *order).withColumn("_at", F.monotonically_increasing_id()))  # task in the high bits
+    at = at.withColumn("_task", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(low))
+    runs = at.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    before = F.sum("_size").over(W.partitionBy(group).orderBy("_task")) - F.col("_size")
+    runs = runs.select(group, "_task", (before - F.col("_first") + 1).alias("_shift"))
+    return at.join(runs, [group, "_task"]).withColumn("n", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
+
+
 def unique_slugs(rows: DataFrame, key: str, base: str, order: str) -> DataFrame:
     """``key, slug``: bases made unique by ``-2``, ``-3`` and so on, in order; numbers that are some other row's base, or
     would be taken twice, are passed over.
 
-    Natural ``x-2`` bases keep their name. A taken number is found by one join of candidates with bases.
+    Natural ``x-2`` bases keep their name. Of the taken numbers t1 < t2 < … of a base, number ti is passed over by rows from
+    ti - i + 1 on, so rows need just those points, with how many numbers each passes over.
     """
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy(base).orderBy(order, key))
-    numbered = rows.select(key, base, n.alias("n"))
+    ranked = numbered(rows.select(key, base, F.col(order).alias("_order")), base, ["_order", key]).select(key, base, "n")
     bases = rows.select(base).distinct()
     taken = bases.select(F.regexp_extract(base, r"^(.*)-(\d{1,9})$", 1).alias("stem"), F.regexp_extract(base, r"^(.*)-(\d{1,9})$", 2).try_cast("int").alias("no"))
-    taken = taken.where((F.col("stem") != "") & (F.col("no") >= 2)).groupBy("stem").agg(F.sort_array(F.collect_set("no")).alias("nos"))
-    joined = numbered.join(taken, numbered[base] == taken.stem, "left")
-    shifted = F.aggregate(F.coalesce("nos", F.array().cast("array<int>")), F.col("n"), lambda a, t: F.when(t <= a, a + 1).otherwise(a))
-    return joined.select(key, F.when(F.col("n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), shifted.cast("string"))).alias("slug"))
+    taken = numbered(taken.where((F.col("stem") != "") & (F.col("no") >= 2)).distinct(), "stem", ["no"])
+    points = taken.groupBy("stem", (F.col("no") - F.col("n") + 1).alias("point")).agg(F.count("*").alias("over"))
+    points = points.join(ranked.groupBy(F.col(base).alias("stem")).agg(F.max("n").alias("most")), "stem").where(F.col("point") <= F.col("most"))
+    points = points.groupBy("stem").agg(F.collect_list(F.struct("point", "over")).alias("points"))  # no more than rows of the base
+    joined = ranked.join(points, ranked[base] == points.stem, "left")
+    passed = F.aggregate(F.filter(F.coalesce("points", F.array().cast("array<struct<point:bigint,over:bigint>>")), lambda p: p["point"] <= F.col("n")), F.lit(0).cast("long"), lambda a, p: a + p["over"])
+    return joined.select(key, F.when(F.col("n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), (F.col("n") + passed).cast("string"))).alias("slug"))

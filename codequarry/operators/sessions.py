@@ -189,30 +189,87 @@ def pick_session(sessions: DataFrame, owner: str, current: str, existing: str, o
     return sessions.groupBy(owner).agg(F.min(rank).alias("m")).select(owner, F.col("m.session").alias("session"))
 
 
+def _grams(text: str | Column) -> Column:
+    """The distinct pieces of one, two and three characters of a text in lower case."""
+    t = F.lower(text)
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[F.when(F.length(t) >= n, piece(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
+
+
 def resolve_selector(sessions: DataFrame, asked: DataFrame) -> DataFrame:
     """``selector, id, n_matches``: sessions (id, slug, title) that each selector means.
 
     Tiers in order: slug, id, title in any case, then a unique part of slug or title; several parts match none (id null)
-    and n_matches tells how many. The exact tiers are equi-joins; only what they leave is searched by substring.
+    and n_matches tells how many. Null and empty selectors are none. All tiers are equi-joins: what the exact ones leave is
+    looked up by the selector's first three characters among the pieces of slugs and titles, and then compared as a whole.
     """
+    asked = asked.select("selector").where(F.col("selector") != "").distinct()
     low = F.lower("selector")
     keys = sessions.select("id", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.lower("slug").alias("k")), F.struct(F.lit(1).alias("tier"), F.lower("id").alias("k")), F.struct(F.lit(2).alias("tier"), F.lower("title").alias("k")))).alias("t")).select("id", "t.tier", "t.k")
     exact = asked.join(keys, low == F.col("k")).groupBy("selector").agg(F.min(F.struct("tier", "id")).alias("m")).select("selector", F.col("m.id").alias("id"), F.lit(1).cast("long").alias("n_matches"))
-    rest = asked.join(exact.select("selector"), "selector", "left_anti")
-    part = rest.join(sessions, F.contains(F.lower("slug"), low) | F.contains(F.lower("title"), low), "left").groupBy("selector").agg(F.count("id").alias("n_matches"), F.min("id").alias("id"))
-    return exact.unionByName(part.select("selector", F.when(F.col("n_matches") == 1, F.col("id")).alias("id"), "n_matches"))
+    rest = asked.join(exact.select("selector"), "selector", "left_anti").withColumn("gram", F.substring(low, 1, 3))
+    names = sessions.select("id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("slug"), F.lower("title"))))).alias("name"))
+    pieces = names.select("id", "name", F.explode(_grams("name")).alias("gram"))
+    hits = rest.join(pieces, "gram").where(F.contains("name", low)).groupBy("selector").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    part = rest.join(hits, "selector", "left").select("selector", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))
+    return exact.unionByName(part)
 
 
 def key_search(rows: DataFrame, key: str, payload: str, pattern: str, depth: int = 3) -> DataFrame:
-    """``key, path, value``: every object entry whose name matches, down to a depth below the top; arrays are entered."""
-    level = rows.select(key, F.lit("$").alias("path"), json(payload).alias("v")).where(F.col("v").isNotNull())
-    out = None
-    for _ in range(depth + 1):
-        entries = F.transform_values(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, v: v)
-        opened = level.select(key, "path", F.explode(F.map_entries(entries)).alias("e")).select(key, F.concat("path", F.lit("."), "e.key").alias("path"), F.col("e.key").alias("name"), F.col("e.value").alias("v"))
-        items = level.select(key, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "v"))
-        items = items.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.lit("").alias("name"), "v")
-        hits = opened.where(F.col("name").rlike(pattern)).select(key, "path", F.to_json("v").alias("value"))
-        out = hits if out is None else out.unionByName(hits)
-        level = opened.unionByName(items).select(key, "path", "v")
-    return out
+    """``key, path, value``: every object entry whose name matches, down to a depth below the top; arrays are entered.
+
+    A payload is parsed once; its levels are arrays of one row, which is exploded once.
+    """
+    empty = F.array().cast("array<struct<path:string,name:string,v:variant>>")
+
+    def below(path: Column, v: Column) -> Column:
+        """The entries and items right below a value."""
+        entries = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["key"].alias("name"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.lit("").alias("name"), x.alias("v")))
+        return F.coalesce(entries, items, empty)
+
+    out = rows.select(key, json(payload).alias("v")).where(F.col("v").isNotNull()).withColumn("l0", below(F.lit("$"), F.col("v")))
+    for i in range(1, depth + 1):
+        out = out.withColumn(f"l{i}", F.flatten(F.transform(f"l{i - 1}", lambda e: below(e["path"], e["v"]))))
+    found = F.filter(F.concat(*[f"l{i}" for i in range(depth + 1)]), lambda e: (e["name"] != "") & e["name"].rlike(pattern))
+    return out.select(key, F.explode(found).alias("e")).select(key, "e.path", F.to_json("e.v").alias("value"))
+
+
+def event_session(v: Column) -> Column:
+    """The session that an event's payload speaks of: the first id among the candidates; null if there is none."""
+    return first_string(v, EVENT_SESSION_PATHS)
+
+
+def best_group(scored: DataFrame, owner: str, group: str, score: Column) -> DataFrame:
+    """``owner, group, score``: of each owner's groups the one with the largest sum, then most rows, then the last name."""
+    s = scored.groupBy(owner, group).agg(F.sum(score).alias("score"), F.count("*").alias("n"))
+    return s.groupBy(owner).agg(F.max(F.struct("score", "n", group)).alias("m")).select(owner, F.col(f"m.{group}").alias(group), F.col("m.score").alias("score"))
+
+
+def first_free(rows: DataFrame, owner: str, number: str) -> DataFrame:
+    """``owner, free``: the smallest number from 1 on that no row of the owner has. Gaps are found by an anti-join."""
+    n = rows.select(owner, F.col(number).cast("long").alias("n")).where(F.col("n") >= 1).distinct()
+    after = n.select(owner, (F.col("n") + 1).alias("n")).unionByName(n.select(owner, F.lit(1).cast("long").alias("n"))).distinct()
+    return after.join(n, [owner, "n"], "left_anti").groupBy(owner).agg(F.min("n").alias("free"))
+
+
+def fallback_rows(rows: DataFrame, owner: str, wanted: Column) -> DataFrame:
+    """The wanted rows of each owner, and all rows of owners that have none. A null wish is no wish."""
+    marked = rows.withColumn("_hit", F.coalesce(wanted, F.lit(False)))
+    some = marked.groupBy(owner).agg(F.max("_hit").alias("_some"))
+    return marked.join(some, owner).where(F.col("_hit") | ~F.col("_some")).drop("_hit", "_some")
+
+
+def first_source(sources: Sequence[DataFrame], key: str) -> DataFrame:
+    """``key, source``: each key of the frames once, with the number of the first frame that has it. Nulls are none."""
+    out: DataFrame | None = None
+    for i, s in enumerate(sources):
+        part = s.select(F.col(key), F.lit(i).alias("source")).where(F.col(key).isNotNull())
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(key).agg(F.min("source").alias("source"))
+
+
+def ranked(rows: DataFrame, owner: str, kind: str, first: Sequence[str]) -> DataFrame:
+    """``rows`` (one a kind of each owner) with ``place``: the kinds named first in that order, then the others by name."""
+    rank = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(first)], F.lit(len(first)))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(rank, kind)))

@@ -210,7 +210,7 @@ _LINES = "SELECT DISTINCT id, fam, line, ls[line] AS text FROM (SELECT id, fam,
 
 def _calls_part(fam: str) -> str:
     pattern = (code.PLAIN_CALL if fam == "python" else code.DOTTED_CALL).replace("'", "''")
-    words = lambda s: ", ".join(f"'{w}'" for w in s.split())
+    words = lambda s: ", ".join(f"'{w}'" for w in s)
     return f"""SELECT id, CAST(line AS INTEGER) AS line, CAST(off AS INTEGER) AS "column", name FROM (
         SELECT id, line, text, names[i] AS name, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
           + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS off

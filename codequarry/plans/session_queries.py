@@ -100,7 +100,8 @@ def pick_session(spark, d):
 def resolve_selector(spark, d):
     """Names that references use, resolved among the classes."""
     c = table(spark, d, "graph_nodes").where(F.col("kind") == "class").select(F.col("qualified_name").alias("slug"), "id", F.col("name").alias("title")).distinct()
-    return sessions.resolve_selector(c, table(spark, d, "chunk_config").select(F.regexp_extract("project_path", r"([a-z]+)$", 1).alias("selector")).distinct())
+    names = fx.strip(F.regexp_replace("reference_name", r"\(\)$", ""))
+    return sessions.resolve_selector(c, table(spark, d, "unresolved_refs").select(names.alias("selector")))
 
 
 def root_match(spark, d):
@@ -117,7 +118,7 @@ def belongs_to_project(spark, d):
 
 
 def slugify_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", fx.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", fx.slug("text").alias("slug"))
 
 
 def unique_slugs(spark, d):
@@ -169,7 +170,8 @@ def format_results(spark, d):
 
 
 def html_sniff(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"(?i)<!doctype html>|<\|endoftext\|>")).select("doc_id")
+    """Documents that hold an HTML page."""
+    return table(spark, d, "documents").where(fx.holds_html("text")).select("doc_id")
 
 
 def json_key_search(spark, d):
@@ -181,8 +183,8 @@ def json_key_search(spark, d):
 def best_message_array(spark, d):
     """Of the event types of each user, the one with most filled messages, then most messages."""
     m = sessions.with_message_fields(_messages(spark, d)).join(table(spark, d, "events").select(F.col("event_id").alias("pos"), "event_type"), "pos")
-    s = m.groupBy("session", "event_type").agg(F.sum((F.col("reply") != "").cast("int") + (F.coalesce("role", F.lit("")) == "assistant").cast("int")).alias("score"), F.count("*").alias("n"))
-    return s.groupBy("session").agg(F.max(F.struct("score", "n", "event_type")).alias("m")).select("session", F.col("m.event_type").alias("event_type"), F.col("m.score").alias("score"))
+    filled = (F.col("reply") != "").cast("int") + (F.coalesce("role", F.lit("")) == "assistant").cast("int")
+    return sessions.best_group(m, "session", "event_type", filled)
 
 
 def _users(spark, d, second: bool):
@@ -199,9 +201,7 @@ def state_merge(spark, d):
 
 def first_free_number(spark, d):
     """The smallest line number that no node of a file starts at."""
-    n = table(spark, d, "graph_nodes").select("file_path", F.col("start_line").cast("long").alias("n")).where(F.col("n") >= 1).distinct()
-    after = n.select("file_path", (F.col("n") + 1).alias("n")).unionByName(n.select("file_path", F.lit(1).cast("long").alias("n"))).distinct()
-    return after.join(n, ["file_path", "n"], "left_anti").groupBy("file_path").agg(F.min("n").alias("free"))
+    return sessions.first_free(table(spark, d, "graph_nodes"), "file_path", "start_line")
 
 
 def instance_status(spark, d):
@@ -214,27 +214,20 @@ def instance_status(spark, d):
 
 def ranked_kinds(spark, d):
     """Node kinds of each language: classes first, then functions, then the others by name."""
-    from pyspark.sql import Window as W
-
     n = table(spark, d, "graph_nodes").groupBy("language", "kind").agg(F.count("*").alias("n"))
-    rank = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "function", 1).otherwise(10)
-    return n.withColumn("place", F.row_number().over(W.partitionBy("language").orderBy(rank, "kind")))
+    return sessions.ranked(n, "language", "kind", ("class", "function"))
 
 
 def fallback_filter(spark, d):
-    """Documents of each project in German; all of a project's where it has none."""
-    from pyspark.sql import Window as W
-
-    docs = table(spark, d, "documents").where(F.col("project_path").isNotNull()).select("doc_id", "project_path", (F.coalesce("lang", F.lit("")) == "ko").alias("hit"))
-    some = docs.groupBy("project_path").agg(F.max("hit").alias("some"))
-    return docs.join(some, "project_path").where(F.col("hit") | ~F.col("some")).select("doc_id", "project_path")
+    """Documents of each project in Korean; all of a project's where it has none."""
+    docs = table(spark, d, "documents").where(F.col("project_path").isNotNull())
+    return sessions.fallback_rows(docs, "project_path", F.col("lang") == "ko").select("doc_id", "project_path")
 
 
 def priority_union(spark, d):
     """Names of nodes first, then names only references use: the first source of each name wins."""
-    a = table(spark, d, "graph_nodes").select("name", F.lit(0).alias("p"))
-    b = table(spark, d, "unresolved_refs").select(F.col("reference_name").alias("name"), F.lit(1).alias("p"))
-    return a.unionByName(b).where(F.col("name").isNotNull()).groupBy("name").agg(F.min("p").alias("source"))
+    refs = table(spark, d, "unresolved_refs").select(F.col("reference_name").alias("name"))
+    return sessions.first_source([table(spark, d, "graph_nodes"), refs], "name")
 
 
 def _events(spark, d):
@@ -260,7 +253,7 @@ def dedupe_events(spark, d):
 
 
 def session_idle_batch(spark, d):
-    """How each user's wait ends: a purchase is idle, an error an error, after a week it is over."""
+    """How each user's wait ends: a purchase is idle, an error an error, after two hours it is over."""
     kind = F.when(F.col("event_type") == "purchase", "session.idle").when(F.col("event_type") == "error", "session.error").otherwise("message")
     e = _events(spark, d).select("user_id", "ts", kind.alias("kind"))
     out = streams.until_terminal(e, "user_id", "ts", "kind", 2 * 3600 * 1000)
@@ -345,17 +338,18 @@ ORACLE = {
       SELECT project_path, id AS session FROM n LEFT JOIN h USING (project_path)
       QUALIFY row_number() OVER (PARTITION BY project_path ORDER BY CASE WHEN flag THEN 0 WHEN id = held THEN 1 ELSE 2 END, first_at, id) = 1""",
     "resolve_selector": r"""WITH c AS (SELECT DISTINCT qualified_name AS slug, id, name AS title FROM graph_nodes WHERE kind = 'class'),
-      a AS (SELECT DISTINCT regexp_extract(project_path, '([a-z]+)$', 1) AS selector FROM chunk_config),
-      x AS (SELECT selector, id, CASE WHEN lower(slug) = selector THEN 0 WHEN lower(id) = selector THEN 1 ELSE 2 END AS tier FROM a JOIN c ON lower(slug) = selector OR lower(id) = selector OR lower(title) = selector),
-      e AS (SELECT selector, arg_min(id, (tier, id)) AS id, CAST(1 AS BIGINT) AS n_matches FROM x GROUP BY 1),
-      p AS (SELECT selector, count(id) AS n_matches, min(id) AS id FROM (SELECT * FROM a WHERE selector NOT IN (SELECT selector FROM e)) LEFT JOIN c ON contains(lower(slug), selector) OR contains(lower(title), selector) GROUP BY 1)
+      a AS (SELECT DISTINCT trim(regexp_replace(reference_name, '\(\)$', ''), ' ' || chr(9) || chr(10) || chr(13)) AS selector FROM unresolved_refs),
+      q AS (SELECT selector, lower(selector) AS low FROM a WHERE selector <> ''),
+      k AS (SELECT id, lower(slug) AS k, 0 AS tier FROM c UNION ALL SELECT id, lower(id), 1 FROM c UNION ALL SELECT id, lower(title), 2 FROM c),
+      e AS (SELECT selector, arg_min(id, (tier, id)) AS id, CAST(1 AS BIGINT) AS n_matches FROM q JOIN k ON k.k = q.low GROUP BY 1),
+      p AS (SELECT selector, count(DISTINCT id) AS n_matches, min(id) AS id FROM (SELECT * FROM q WHERE selector NOT IN (SELECT selector FROM e)) LEFT JOIN c ON contains(lower(slug), low) OR contains(lower(title), low) GROUP BY 1)
       SELECT * FROM e UNION ALL SELECT selector, CASE WHEN n_matches = 1 THEN id END, n_matches FROM p""",
     "root_match": r"""WITH p AS (SELECT DISTINCT replace(file_path, '\', '/') AS path FROM code_chunks)
       SELECT path, coalesce((SELECT max_by(regexp_extract(project_path, '([^/]+)$', 1), length(project_path)) FROM chunk_config
         WHERE path = project_path OR starts_with(path, project_path || '/')), 'custom') AS scope FROM p""",
     "belongs_to_project": """SELECT project_path, count(*) FILTER (file_path = project_path OR starts_with(file_path, project_path || '/')) AS n_inside, count(*) AS n_files
       FROM (SELECT DISTINCT project_path, file_path FROM graph_nodes) GROUP BY 1""",
-    "slugify_titles": f"SELECT doc_id, coalesce(nullif({_SLUG.format('left(text, 80)', 48)}, ''), 'untitled') AS slug FROM documents",
+    "slugify_titles": f"SELECT doc_id, coalesce(nullif({_SLUG.format('text', 48)}, ''), 'untitled') AS slug FROM documents",
     "parse_timestamps": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 4 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 5 THEN 0 ELSE (epoch_us(ts) // 1000) END AS ms FROM events",
     "ulid_timestamp": "SELECT doc_id, (epoch_us(created_at) // 1000) AS ms FROM documents",
     "normalize_paths": "SELECT DISTINCT CASE WHEN target_file = '' THEN '/' ELSE target_file END AS path FROM dependency_graph",
@@ -363,7 +357,7 @@ ORACLE = {
     "parse_retry_wait": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey % 60 * 1000 + 250 END AS wait_ms FROM orders",
     "parse_commands": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'show_' || event_type END AS command, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS arguments FROM events",
     "format_results": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS snippet, CAST(round(n_chars / 12345.0 * 100) AS INTEGER) AS percent, round(n_chars / 12345.0, 3) AS score FROM documents",
-    "html_sniff": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)<!doctype html>|<\|endoftext\|>')",
+    "html_sniff": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)<!doctype html>')",
     "best_message_array": f"""WITH {_M}, s AS (SELECT session, event_type, sum(CAST(reply <> '' AS INTEGER) + CAST(coalesce(role, '') = 'assistant' AS INTEGER)) AS score, count(*) AS n FROM f GROUP BY 1, 2)
       SELECT session, event_type, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY score DESC, n DESC, event_type DESC) = 1""",
     "state_merge": f"""WITH a AS ({_half('<')}), b AS ({_half('>=')})
