@@ -65,13 +65,10 @@ class CodeIndex:
         if self.provider is not None:
             own = providers.embed(own, "content", "vector", self.provider)
         keys = paths.select(F.lit(project).alias("project_path"), "file_path")
-        old_nodes, old_edges = self.store.read("graph_nodes"), self.store.read("graph_edges")
-        gone = old_nodes.join(keys, ["project_path", "file_path"], "left_semi").select(F.col("id").alias("source"))
-        new_edges = old_edges.join(gone, "source", "left_anti").unionByName(edges)
-        self.store.write("graph_edges", new_edges)
-        for name, rows in (("graph_nodes", nodes), ("code_chunks", own)):
-            kept = self.store.read(name).join(keys, ["project_path", "file_path"], "left_anti")
-            self.store.write(name, kept.unionByName(rows, allowMissingColumns=True))
+        gone = self.store.read("graph_nodes").join(keys, ["project_path", "file_path"], "left_semi").select("project_path", F.col("id").alias("source"))
+        self.store.swap("graph_edges", edges, gone, ["project_path", "source"])
+        self.store.swap("graph_nodes", nodes, keys, ["project_path", "file_path"])
+        self.store.swap("code_chunks", own, keys, ["project_path", "file_path"])
 
     def index_dependencies(self, root: str, project: str | None = None) -> None:
         """Rebuilds the import graph of a project's files."""
@@ -80,18 +77,17 @@ class CodeIndex:
         made = code.build_dependency_graph(scanned, scanned.select("file_path"))
         file_id = lambda c: F.sha2(F.concat_ws("\n", F.lit(project), F.col(c)), 256)
         rows = made.withColumn("source_id", file_id("source_file")).withColumn("target_id", file_id("target_file")).withColumn("project_path", F.lit(project))
-        self.store.write("dependency_graph", self.store.read("dependency_graph").where(F.col("project_path") != project).unionByName(rows))
+        self.store.swap("dependency_graph", rows, rows.sparkSession.createDataFrame([(project,)], "project_path string"), ["project_path"])
 
     def remove_path(self, path: str, project: str | None = None) -> None:
         """Drops a file's chunks, nodes and edges."""
-        chunks = self.store.read("code_chunks")
         mine = (F.col("file_path") == path) & (F.lit(True) if project is None else F.col("project_path") == project)
-        nodes, edges = self.store.read("graph_nodes"), self.store.read("graph_edges")
-        gone = nodes.where(mine).select("id").distinct()
-        kept = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
-        self.store.write("graph_edges", kept)
-        self.store.write("graph_nodes", nodes.where(~mine))
-        self.store.write("code_chunks", chunks.where(~mine))
+        nodes, edges, chunks = (self.store.read(t) for t in ("graph_nodes", "graph_edges", "code_chunks"))
+        gone = nodes.where(mine).select("project_path", "id")
+        touched = edges.join(gone.withColumnRenamed("id", "source"), ["project_path", "source"], "left_semi").unionByName(edges.join(gone.withColumnRenamed("id", "target"), ["project_path", "target"], "left_semi"))
+        self.store.swap("graph_edges", edges.limit(0), touched, edges.columns)
+        for name, rows in (("graph_nodes", nodes), ("code_chunks", chunks)):
+            self.store.swap(name, rows.limit(0), rows.where(mine), ["project_path", "file_path"])
 
     def search(self, o: SearchOptions) -> DataFrame:
         """``id, score`` and what a hit shows: file, lines, language, snippet of 300 characters, percentage."""

@@ -1,13 +1,20 @@
-"""The index on disk: declared schemas, create-if-missing, append, replace and delete over Parquet."""
+"""The index on disk: declared schemas, create-if-missing, append, replace and delete over Parquet.
+
+Tables are folders partitioned by project. An append adds files; a change reads and rewrites the folders of the projects that
+it touches and no others, by Spark's dynamic partition overwrite.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators.index import replace_by_key
-
+from codequarry.session import cut
 
 SCHEMAS = {
     "code_chunks": "id string, project_path string, file_path string, content string, summary string, start_line int, end_line int, language string, "
@@ -22,52 +29,84 @@ SCHEMAS = {
 }
 
 
+def changed_partitions(table: DataFrame, rows: DataFrame, gone: DataFrame, keys: Sequence[str], folder: str, partition: str = "project_path") -> None:
+    """Rewrites the partitions of ``folder`` that a change touches: rows with a key of ``gone`` leave, ``rows`` come.
+
+    ``table`` is the folder as read. Both frames of the change have the partition column. The new content is a checkpoint
+    before anything is overwritten, so a lost executor loses nothing, and doing the same change again changes nothing. A
+    partition that is left without rows is emptied. What the driver holds is a value for each partition that is touched.
+    """
+    spark = table.sparkSession
+    rows, gone = cut(rows.select(*table.columns)), cut(gone.select(*keys).distinct())
+    touched = rows.select(partition).unionByName(gone.select(partition) if partition in keys else table.join(gone, list(keys), "left_semi").select(partition)).distinct()
+    values = [r[0] for r in touched.collect()]
+    mine = table.where(mine_of(partition, values))
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    kept = mine.join(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]), same, "left_anti")
+    full = cut(kept.unionByName(rows))
+    before = {unquote(m[1]) for r in mine.select(F.input_file_name().alias("f")).distinct().collect() if (m := re.search(rf"/({partition}=[^/]*)/", r.f))}
+    full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
+    after = {r[0] for r in full.select(partition).distinct().collect()}
+    if len(after) < len(values):
+        held = {unquote(m[1]) for r in spark.read.schema(table.schema).parquet(folder).where(mine_of(partition, after)).select(F.input_file_name().alias("f")).distinct().collect() if (m := re.search(rf"/({partition}=[^/]*)/", r.f))}
+        for name in before - held:
+            full.limit(0).drop(partition).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def mine_of(partition: str, values: Iterable) -> Column:
+    """Whether a row belongs to one of the partitions, null being one."""
+    values = list(values)
+    return F.coalesce(F.col(partition).isin([v for v in values if v is not None]), F.lit(False)) | (F.col(partition).isNull() if None in values else F.lit(False))
+
+
 class Store:
-    """Tables in folders below ``root``, each change a new version of its folder, so readers never see half a write.
+    """Tables in folders below ``root``, partitioned by project where they have one, so a project's rows are pruned to its folder.
 
-    Tables with a project_path are partitioned by it, so a project's rows are pruned to its folder. A row that doesn't fit
-    the schema is refused; nothing is dropped to make it fit.
+    A row that doesn't fit the schema is refused; nothing is dropped to make it fit. Appends of several writers don't disturb
+    each other; changes of one project are for one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        try:
-            rows = self.spark.read.schema("version long").json(f"{self.root}/{name}/versions").collect()  # one a change
-        except AnalysisException:
-            return []
-        return sorted(r.version for r in rows)
+    def folder(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
         """The table as last written; empty with its schema if it never was."""
         schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        versions = self._versions(name)
-        if not versions:
+        try:
+            return self.spark.read.schema(schema).parquet(self.folder(name)).select(*schema.names)
+        except AnalysisException:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{versions[-1]}").select(*schema.names)
 
-    def write(self, name: str, rows: DataFrame) -> None:
+    def _fit(self, name: str, rows: DataFrame) -> DataFrame:
         schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
         missing = [c for c in rows.columns if c not in schema.names]
         if missing:
             raise ValueError(f"{name} has no columns {missing}")
-        fit = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        number = (self._versions(name) or [0])[-1] + 1
-        out = fit.write.mode("overwrite")
-        if "project_path" in schema.names and name not in ("instances", "active_sessions"):
-            out = out.partitionBy("project_path")
-        out.parquet(f"{self.root}/{name}/v{number}")
-        self.spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{self.root}/{name}/versions")
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        fit = lambda f: F.col(f.name) if kinds.get(f.name) == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name) if f.name in kinds else F.lit(None).cast(f.dataType).alias(f.name)
+        return rows.select(*map(fit, schema.fields))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        out = self._fit(name, rows).write.mode("append")
+        (out.partitionBy("project_path") if "project_path" in SCHEMAS[name] else out).parquet(self.folder(name))
+
+    def swap(self, name: str, rows: DataFrame, gone: DataFrame, keys: list[str]) -> None:
+        """Rows with a key of ``gone`` leave, ``rows`` come."""
+        full, rows = self.read(name), self._fit(name, rows)
+        if "project_path" in full.columns:
+            changed_partitions(full, rows, gone, keys, self.folder(name))
+        else:  # the projects themselves: a few rows
+            kept = full.join(gone.select(*keys).distinct(), keys, "left_anti")
+            cut(kept.unionByName(rows)).write.mode("overwrite").parquet(self.folder(name))
 
     def replace(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Rows take the place of all rows with their keys: an upsert that leaves nothing stale."""
-        full = self.read(name)
-        self.write(name, replace_by_key(full, full.limit(0).unionByName(rows, allowMissingColumns=True), keys))
+        self.swap(name, rows, self._fit(name, rows), keys)
 
     def delete(self, name: str, where: str) -> None:
         """Without the rows for which the SQL condition is true."""
-        self.write(name, self.read(name).where(~F.coalesce(F.expr(where), F.lit(False))))
+        full = self.read(name)
+        self.swap(name, full.limit(0), full.where(F.coalesce(F.expr(where), F.lit(False))), full.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codequarry.operators.index import replace_by_key
+from codequarry.sources.store import changed_partitions
 
 TERMINAL = ("session.idle", "session.error")
 
@@ -199,34 +199,24 @@ def poll_deltas(polls: DataFrame, session: str, ts: str, count: str, most_empty:
     return p.repartition(session).sortWithinPartitions(session, ts, count).mapInPandas(run, schema)
 
 
-def reindex_sink(path: str, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps a Parquet index at ``path`` current.
+def reindex_sink(path: str, build: Callable[[DataFrame], DataFrame], keys: list[str], partition: str = "project_path") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps a Parquet index at ``path``, partitioned by project, current.
 
-    Each micro-batch of changed sources is built into rows that replace all rows of their keys. Every batch writes a version
-    of its own from the one before and is listed last, so a lost executor or a repeated batch leaves a whole index.
+    Each micro-batch of changed sources is built into rows that replace all rows of their keys; only the partitions it touches
+    are rewritten. A batch that is repeated after a failure replaces the same rows once more.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = current_version(spark, path, before=number)
-        new = build(batch)
-        old = spark.read.parquet(f"{path}/v{now}") if now is not None else None
-        rows = new if old is None else replace_by_key(old, new, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{path}/versions")
+        rows = build(batch)
+        try:
+            table = batch.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+        except AnalysisException:
+            table = rows.limit(0)
+        changed_partitions(table, rows, rows, list(dict.fromkeys([partition, *keys])), path, partition)
 
     return apply
 
 
-def current_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """The last version listed for an index (before a number, if given); None before the first."""
-    try:
-        v = spark.read.schema("version long").json(f"{path}/versions")
-    except AnalysisException:
-        return None
-    return v.where(F.col("version") < before if before is not None else F.lit(True)).agg(F.max("version")).first()[0]
-
-
 def watched_changes(before: DataFrame, after: DataFrame, path: str = "file_path", value: str = "file_hash") -> DataFrame:
     """``path, change`` between two listings of files: add, change or unlink."""
     b, a = before.select(path, F.col(value).alias("_b"), F.lit(1).alias("_was")), after.select(path, F.col(value).alias("_a"), F.lit(1).alias("_is"))

@@ -165,14 +165,14 @@ def test_poll_deltas(spark, tmp_path):
 
 
 def test_reindex_sink(spark, tmp_path):
-    path, schema = str(tmp_path / "index"), "file_path string, line string"
-    sink = streams.reindex_sink(path, lambda b: b.select("file_path", F.upper("line").alias("line")), ["file_path"])
-    first = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], schema)
-    sink(first, 0)
-    sink(spark.createDataFrame([("a", "new")], schema), 1)
-    sink(spark.createDataFrame([("a", "new")], schema), 1)  # a repeated batch changes nothing
-    rows = spark.read.parquet(f"{path}/v{streams.current_version(spark, path)}").collect()
-    assert {tuple(r) for r in rows} == {("a", "NEW"), ("b", "Z")}
+    path, schema = str(tmp_path / "index"), "project_path string, file_path string, line string"
+    sink = streams.reindex_sink(path, lambda b: b.select("project_path", "file_path", F.upper("line").alias("line")), ["file_path"])
+    sink(spark.createDataFrame([("/p", "a", "x"), ("/p", "a", "y"), ("/p", "b", "z"), ("/q", "a", "q")], schema), 0)
+    other = sorted((tmp_path / "index").glob("project_path=*q/*.parquet"))
+    sink(spark.createDataFrame([("/p", "a", "new")], schema), 1)
+    sink(spark.createDataFrame([("/p", "a", "new")], schema), 1)  # a repeated batch changes nothing
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(path).select("project_path", "file_path", "line").collect()} == {("/p", "a", "NEW"), ("/p", "b", "Z"), ("/q", "a", "Q")}
+    assert other and other == sorted((tmp_path / "index").glob("project_path=*q/*.parquet"))  # another project's files stay
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "file_path string, file_hash string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4"), ("c", None)], "file_path string, file_hash string")
     assert {tuple(r) for r in streams.watched_changes(old, now).collect()} == {("b", "change"), ("d", "add")}
