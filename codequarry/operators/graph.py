@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import cut
+
 NOT_DEAD = ("import", "variable", "constant", "class", "function", "method")
 
 
@@ -19,6 +21,12 @@ def nodes_by_file(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.where(F.col("file_path") == path)
 
 
+def node_by_id(nodes: DataFrame, node: str) -> DataFrame:
+    """The last indexed row of a node; none for an unknown id."""
+    order = [F.desc_nulls_last(c) for c in ("indexed_at", "start_line") if c in nodes.columns]
+    return nodes.where(F.col("id") == node).orderBy(*order, "qualified_name").limit(1)
+
+
 def edges_by_node(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges that touch one of ``id``: ``id, source, target, kind, line``. Two equi-joins, no disjunction."""
     ids = ids.select("id").distinct()
@@ -54,6 +62,30 @@ def call_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(sums, "id", "left").na.fill(0, ["n_callers", "n_callees"])
 
 
+def called_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, caller``: who calls each node, a row each, so a hub's callers are never one row. Both are known nodes."""
+    known = nodes.select("id").distinct()
+    e = _edges(edges, "calls").select(F.col("target").alias("id"), F.col("source").alias("caller"))
+    return e.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "caller"), "caller", "left_semi").select("id", "caller")
+
+
+def within_depth(nodes: DataFrame, edges: DataFrame, focal: DataFrame, depth: int, kinds: Sequence[str] = ()) -> DataFrame:
+    """``focal, id, depth``: nodes reached from each focal node along edges in at most ``depth`` steps, with the fewest steps.
+
+    A step is a join of the newest nodes with the edges; nodes reached before are left out, so loops end.
+    """
+    e = _edges(edges, *kinds).select("source", "target").distinct()
+    seen = cut(focal.select(F.col("id").alias("focal"), "id", F.lit(0).alias("depth")).distinct())
+    newest = seen
+    for step in range(1, depth + 1):
+        ahead = newest.join(e, newest.id == e.source).select("focal", F.col("target").alias("id")).distinct()
+        newest = cut(ahead.join(seen.select("focal", "id"), ["focal", "id"], "left_anti").withColumn("depth", F.lit(step)))
+        if newest.isEmpty():
+            break
+        seen = seen.unionByName(newest)
+    return seen.join(nodes.select("id").distinct(), "id", "left_semi").select("focal", "id", "depth")
+
+
 def context(nodes: DataFrame, edges: DataFrame, focal: DataFrame, *, semantics: str = "intended") -> DataFrame:
     """``focal, role, id``: children (``contains``), and nodes that refer to or are referred to by each focal node.
 

@@ -91,6 +91,16 @@ def code_references(dependencies: DataFrame, edges: DataFrame, unresolved: DataF
     return refs.where(F.col("id_key").isNotNull() | F.col("name_key").isNotNull()).distinct()
 
 
+def placed_references(unresolved: DataFrame) -> DataFrame:
+    """``from_id, at, name, file_path, language`` of references by name with the file and language they stand in, each once.
+
+    Names are without outer blanks and one final ``()``; blank values are null.
+    """
+    key = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    name = key(F.regexp_replace(key(F.col("reference_name")), r"\(\)\z", ""))
+    return unresolved.select(F.col("from_node_id").alias("from_id"), F.col("indexed_at").alias("at"), name.alias("name"), F.nullif("file_path", F.lit("")).alias("file_path"), F.nullif("language", F.lit("")).alias("language")).distinct()
+
+
 def node_keys(nodes: DataFrame) -> DataFrame:
     """Graph nodes under each key they can be referred to by: ``id_key``, or ``name_key`` (name and qualified name)."""
     none = F.lit(None).cast("string")

@@ -31,29 +31,46 @@ def with_retries(call: Callable, *, retries: int = 5, base_s: float = 2.0, wait_
     return run
 
 
-def embed(rows: DataFrame, text: str, out: str, provider: Callable[[], Embed], *, batch: int = 50, pause_s: float = 0.0) -> DataFrame:
-    """``rows`` with a vector for each text. ``provider`` is made once a task and called with up to ``batch`` texts.
-
-    Null and blank texts are embedded as one blank. The provider must give one vector a text, in order.
-    """
+def _in_batches(rows: DataFrame, text: str, out: str, kind: str, provider: Callable, fill: Callable, batch: int, pause_s: float, retries: int, base_s: float, wait_s: Callable[[Exception], float | None]) -> DataFrame:
+    """``rows`` with what a provider, made once a task, gives for each text; calls of up to ``batch`` texts, with retries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
         for b in batches:
-            call = call or provider()
-            texts = [t if isinstance(t, str) and t.strip() else " " for t in b[text]]
-            vectors: list = []
+            call = call or with_retries(provider(), retries=retries, base_s=base_s, wait_s=wait_s)
+            texts, values = [fill(t) for t in b[text]], []
             for s in range(0, len(texts), batch):
                 got = call(texts[s : s + batch])
                 if len(got) != len(texts[s : s + batch]):
-                    raise ValueError("a provider gave another number of vectors than texts")
-                vectors += [list(map(float, v)) for v in got]
+                    raise ValueError("a provider gave another number of results than texts")
+                values += got
                 if pause_s:
                     time.sleep(pause_s)
-            yield b.assign(**{out: vectors})
+            yield b.assign(**{out: [list(map(float, v)) for v in values] if kind == "array<float>" else [str(v) for v in values]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != out)
-    return rows.drop(out).mapInPandas(run, f"{schema}, `{out}` array<float>")
+    return rows.drop(out).mapInPandas(run, f"{schema}, `{out}` {kind}")
+
+
+def embed(rows: DataFrame, text: str, out: str, provider: Callable[[], Embed], *, batch: int = 50, pause_s: float = 0.0, retries: int = 5, base_s: float = 2.0, wait_s: Callable[[Exception], float | None] = lambda e: None) -> DataFrame:
+    """``rows`` with a vector for each text. ``provider`` is made once a task and called with up to ``batch`` texts.
+
+    Null and blank texts are embedded as one blank. The provider must give one vector a text, in order. A call that fails is
+    tried again, after the wait that the error asks for or an exponential delay.
+    """
+    fill = lambda t: t if isinstance(t, str) and t.strip() else " "
+    return _in_batches(rows, text, out, "array<float>", provider, fill, batch, pause_s, retries, base_s, wait_s)
+
+
+def embed_query(text: str, provider: Callable[[], Embed]) -> list[float]:
+    """The vector of a question."""
+    return list(map(float, with_retries(provider())([text if text.strip() else " "])[0]))
+
+
+def summarize(rows: DataFrame, text: str, out: str, provider: Callable[[], Callable[[list[str]], Sequence[str]]], *, longest: int = 2000, batch: int = 10, pause_s: float = 0.0, retries: int = 5, base_s: float = 2.0, wait_s: Callable[[Exception], float | None] = lambda e: None) -> DataFrame:
+    """``rows`` with a provider's summary of each text, cut to ``longest`` characters and marked before it is sent."""
+    shown = rows.withColumn("_shown", prompt_text(F.coalesce(F.col(text), F.lit("")), longest))
+    return _in_batches(shown, "_shown", out, "string", provider, lambda t: t, batch, pause_s, retries, base_s, wait_s).drop("_shown")
 
 
 def prompt_text(content: str | Column, longest: int = 2000) -> Column:

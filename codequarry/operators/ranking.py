@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codequarry.functions.text import query_tokens, tokens
 from codequarry.session import cut
@@ -69,3 +70,48 @@ def bm25_scores(docs: DataFrame, key: str, text: str, query: str, *, k1: float =
 def top(scores: DataFrame, key: str, k: int, score: str = "score", *, ascending: bool = False) -> DataFrame:
     """The k best rows; equal scores in order of the key."""
     return scores.orderBy(F.col(score) if ascending else F.col(score).desc(), key).limit(k)
+
+
+class WordIndex:
+    """BM25 postings on disk, by term, so a question reads the lists of its terms and nothing else.
+
+    Below a folder lie ``postings`` (key, term, tf, dl), split into files by a hash of the term and sorted by it, and ``corpus``
+    (number of documents, their mean length and largest key). Texts are tokenised once, when the index is written.
+    """
+
+    PARTS = 64  #: folders of postings; a question opens one a term
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @staticmethod
+    def _part(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(WordIndex.PARTS)).cast("int")
+
+    def write(self, docs: DataFrame, key: str, text: str) -> WordIndex:
+        """Indexes all documents in place of what was there. Repeated documents count as documents of their own."""
+        own = cut(docs.select(F.col(key).alias("key"), tokens(text).alias("tk")).withColumn("doc", F.monotonically_increasing_id()))
+        each = own.select("doc", "key", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
+        lists = each.groupBy("doc", "key", "dl", "term").agg(F.count("*").alias("tf")).withColumn("part", self._part(F.col("term")))
+        # a hot term is spread over tasks: sorting is within files, and a part may have several
+        lists.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings")
+        own.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tk")), F.lit(1.0)).alias("mean"), F.max("key").alias("key")).write.mode("overwrite").parquet(f"{self.folder}/corpus")
+        return self
+
+    def scores(self, query: str, key: str = "key", *, k1: float = K1, b: float = B) -> DataFrame:
+        """``key, score`` of every document with a positive score, as ``bm25_scores`` gives them."""
+        asked = query_tokens(query)
+        terms = sorted(set(asked))
+        corpus = self.spark.read.parquet(f"{self.folder}/corpus")
+        shape = T.StructType().add("doc", T.LongType()).add("key", corpus.schema["key"].dataType).add("dl", T.IntegerType()).add("term", T.StringType()).add("tf", T.LongType()).add("part", T.IntegerType())
+        lists = self.spark.read.schema(shape).parquet(f"{self.folder}/postings")
+        if not terms:
+            return lists.select(F.col("key").alias(key), F.lit(0.0).alias("score")).where(F.lit(False))
+        parts = [r.p for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._part(F.col("term")).alias("p")).distinct().collect()]
+        lists = lists.where(F.col("part").isin(parts) & F.col("term").isin(terms))
+        corpus = corpus.first()
+        df = {r.term: r.n for r in lists.groupBy("term").agg(F.count("*").alias("n")).collect()}  # the terms of the question
+        weight = F.coalesce(*[F.when(F.col("term") == t, asked.count(t) * inverse_frequency(F.lit(df.get(t, 0)), F.lit(corpus.n))) for t in terms])
+        tf = F.col("tf").cast("double")
+        part = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(corpus.mean or 1.0)))
+        return lists.groupBy("doc", "key").agg(F.sum(part).alias("score")).where(F.col("score") > 0).select(F.col("key").alias(key), "score")

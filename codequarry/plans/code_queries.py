@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from codequarry.functions import text as fx
 from codequarry.operators import code, index
-from codequarry.session import spread, table
+from codequarry.session import cut, spread, table
 
 CUTOFF = "2025-10-01"
 
@@ -74,6 +74,13 @@ def find_calls(spark, d):
     return code.extract_calls(_sources(spark, d), ["id"]).distinct().groupBy("name").agg(F.count("*").alias("n_calls"), F.countDistinct("id").alias("n_sources"))
 
 
+def calls_of_name(spark, d):
+    """The calls of the name that is called most."""
+    calls = cut(code.extract_calls(_sources(spark, d), ["id"]).distinct())
+    row = calls.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").first()
+    return code.find_calls(calls, row.name if row else "")
+
+
 def extract_symbols(spark, d):
     return code.extract_symbols(_sources(spark, d), "id").distinct()
 
@@ -184,7 +191,7 @@ def split_long_text(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    parse_imports_js, parse_imports_py, parse_imports_go, dependency_edges, extract_calls, find_calls, extract_symbols,
+    parse_imports_js, parse_imports_py, parse_imports_go, dependency_edges, extract_calls, find_calls, calls_of_name, extract_symbols,
     extract_symbols_declared, class_members, asof_symbol, extract_references, normalize_import_path, language_of, project_stats,
     language_counts, stats_empty, latest_file_hash, changed_files, file_hashes, reindexed_chunks, deleted_file_graph,
     embed_local_slots, embed_local_topk, chunk_documents, split_long_text,
@@ -268,6 +275,7 @@ ORACLE = {
       SELECT DISTINCT file_path AS source_file, arg_min(f, r) AS target_file, CASE WHEN kind = 2 THEN '*' ELSE name END AS import_name, line
       FROM ({_JS}) JOIN ends ON true JOIN files ON f = path || e GROUP BY file_path, line, path, kind, name""",
     "extract_calls": _CALLS,
+    "calls_of_name": f"WITH c AS ({_CALLS}) SELECT * FROM c WHERE name = (SELECT name FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
     "find_calls": f"SELECT name, count(*) AS n_calls, count(DISTINCT id) AS n_sources FROM ({_CALLS}) GROUP BY 1",
     "extract_symbols": "SELECT DISTINCT id, CAST(line AS INTEGER) AS line, kind, name, qualified_name, is_exported FROM (" + _symbols("id", _LINES) + ")",
     "extract_symbols_declared": _symbols("file_path", _DECLARED),

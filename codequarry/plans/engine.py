@@ -20,7 +20,8 @@ from codequarry.streaming.operators import watched_changes
 class CodeIndex:
     """Chunks, symbols and dependencies of projects in a store folder.
 
-    ``provider`` makes an embedding function in each task; without one chunks have no vector and searches rank by words.
+    ``provider`` makes an embedding function in each task, and for the text of a question; without one chunks have no vector
+    and searches rank by words.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, provider: Callable[[], providers.Embed] | None = None, chunk_words: int = 2048):
@@ -93,6 +94,8 @@ class CodeIndex:
         """``id, score`` and what a hit shows: file, lines, language, snippet of 300 characters, percentage."""
         chunks = self.store.read("code_chunks")
         related = graph.related_names(self.store.read("graph_nodes"), self.store.read("graph_edges"))
+        if o.text and not len(o.vector) and self.provider is not None:
+            o = replace(o, vector=providers.embed_query(o.text, self.provider))
         if not len(o.vector):
             o = replace(o, mode="hybrid", summary=False)
         hits = search.search(chunks, related, o)
@@ -123,5 +126,24 @@ class CodeIndex:
     def dead_code(self) -> DataFrame:
         return graph.dead_code(self.store.read("graph_nodes"), self.store.read("graph_edges"))
 
+    def node(self, node: str) -> DataFrame:
+        return graph.node_by_id(self.store.read("graph_nodes"), node)
+
+    def call_graph(self, name: str) -> DataFrame:
+        return graph.call_graph(self.store.read("graph_nodes"), self.store.read("graph_edges"), name)
+
+    def called_by(self) -> DataFrame:
+        return graph.called_by(self.store.read("graph_nodes"), self.store.read("graph_edges"))
+
+    def within(self, name: str, depth: int) -> DataFrame:
+        nodes = self.store.read("graph_nodes")
+        return graph.within_depth(nodes, self.store.read("graph_edges"), nodes.where(F.col("qualified_name") == name), depth)
+
+    def dependencies(self, path: str) -> DataFrame:
+        return graph.dependencies_of(self.store.read("dependency_graph"), path)
+
+    def dependents(self, path: str) -> DataFrame:
+        return graph.dependents_of(self.store.read("dependency_graph"), path)
+
     def files_importing(self, module: str) -> DataFrame:
         return graph.files_importing(self.store.read("dependency_graph"), module)

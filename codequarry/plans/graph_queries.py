@@ -28,6 +28,30 @@ def nodes_by_file(spark, d):
     return table(spark, d, "graph_nodes").groupBy("file_path").agg(F.countDistinct("id").alias("n_nodes"), F.countDistinct("kind").alias("n_kinds"))
 
 
+def nodes_of_file(spark, d):
+    """The nodes of the file that has most of them."""
+    nodes = table(spark, d, "graph_nodes")
+    row = nodes.groupBy("file_path").agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), "file_path").first()
+    return graph.nodes_by_file(nodes, row.file_path if row else "").select("id", "kind", "qualified_name", "file_path").distinct()
+
+
+def node_by_id(spark, d):
+    """The last row of the node that was indexed again last."""
+    nodes = table(spark, d, "graph_nodes")
+    row = nodes.groupBy("id").agg(F.countDistinct("indexed_at").alias("n"), F.max("indexed_at").alias("at")).orderBy(F.desc("n"), F.desc("at"), "id").first()
+    return graph.node_by_id(nodes, row.id if row else "").select("id", "kind", "qualified_name", "indexed_at")
+
+
+def called_by(spark, d):
+    return graph.called_by(*_graph(spark, d))
+
+
+def within_depth(spark, d):
+    """Nodes within two calls of the busiest name's nodes."""
+    nodes, edges = _graph(spark, d)
+    return graph.within_depth(nodes, edges, nodes.where(F.col("qualified_name") == _busiest(spark, d)), 2, ("calls",))
+
+
 def edges_by_node(spark, d):
     nodes, edges = _graph(spark, d)
     return graph.edges_by_node(edges, nodes.where(F.col("kind") == "class").select("id"))
@@ -116,7 +140,7 @@ def edge_kinds(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    nodes_by_file, edges_by_node, callers, callees, call_graph, call_counts, context, context_as_coded, ancestors, children,
+    nodes_by_file, nodes_of_file, node_by_id, called_by, within_depth, edges_by_node, callers, callees, call_graph, call_counts, context, context_as_coded, ancestors, children,
     related_nodes, related_nodes_project, dead_code, dead_code_engine, files_importing, file_dependencies, dependencies,
     dependents, edge_kinds,
 )}
@@ -148,6 +172,18 @@ def _related(where: str) -> str:
 
 ORACLE = {
     "nodes_by_file": "SELECT file_path, count(DISTINCT id) AS n_nodes, count(DISTINCT kind) AS n_kinds FROM graph_nodes GROUP BY 1",
+    "nodes_of_file": """SELECT DISTINCT id, kind, qualified_name, file_path FROM graph_nodes WHERE file_path =
+      (SELECT file_path FROM graph_nodes GROUP BY 1 ORDER BY count(DISTINCT id) DESC, 1 LIMIT 1)""",
+    "node_by_id": """SELECT id, kind, qualified_name, indexed_at FROM graph_nodes WHERE id =
+      (SELECT id FROM graph_nodes GROUP BY 1 ORDER BY count(DISTINCT indexed_at) DESC, max(indexed_at) DESC, 1 LIMIT 1)
+      ORDER BY indexed_at DESC NULLS LAST, start_line DESC NULLS LAST, qualified_name LIMIT 1""",
+    "called_by": """SELECT DISTINCT target AS id, source AS caller FROM graph_edges WHERE kind = 'calls'
+      AND target IN (SELECT id FROM graph_nodes) AND source IN (SELECT id FROM graph_nodes)""",
+    "within_depth": f"""WITH {_BUSY}, e AS (SELECT DISTINCT source, target FROM graph_edges WHERE kind = 'calls'),
+      f AS (SELECT DISTINCT id AS focal FROM graph_nodes WHERE qualified_name = (SELECT q FROM busy)),
+      s AS (SELECT focal, focal AS id, 0 AS depth FROM f UNION ALL SELECT focal, target, 1 FROM f JOIN e ON source = focal
+        UNION ALL SELECT focal, e2.target, 2 FROM f JOIN e ON e.source = focal JOIN e e2 ON e2.source = e.target)
+      SELECT focal, id, CAST(min(depth) AS INTEGER) AS depth FROM s WHERE id IN (SELECT id FROM graph_nodes) GROUP BY 1, 2""",
     "edges_by_node": f"""SELECT DISTINCT n.id, e.source, e.target, e.kind, e.line FROM ({ID_SET}) n JOIN graph_edges e ON e.source = n.id OR e.target = n.id""",
     "callers": f"WITH {_BUSY} {_CALLERS}",
     "callees": f"WITH {_BUSY} {_CALLEES}",

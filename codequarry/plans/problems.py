@@ -50,7 +50,19 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(cut(p5_found(spark, d)), orphans.code_references(*_refs(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_several_parents, p2_paths, p2_descendants, p5_found, p5_counts)}
+def p5_composite(spark: SparkSession, d: str) -> DataFrame:
+    """References by name, file and language together, each of which may be null, under every match rule."""
+    refs = orphans.placed_references(table(spark, d, "unresolved_refs"))
+    nodes = table(spark, d, "graph_nodes").select("name", "file_path", "language", "indexed_at", "removed_at")
+    out = None
+    for rule in orphans.MATCH_RULES:
+        lost = orphans.orphan_references(refs, ["name", "file_path", "language"], "at", nodes, start="indexed_at", end="removed_at", match=rule)
+        part = lost.select(F.lit(rule).alias("match_rule"), F.date_format("at", "yyyy-MM").alias("period"), "from_id", "name", "file_path", "language").distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_several_parents, p2_paths, p2_descendants, p5_found, p5_counts, p5_composite)}
 
 _POINTERS = """
 ptr0 AS (
@@ -108,4 +120,14 @@ ORACLE = {
       SELECT ref_table, period, count(*) AS n_refs,
         coalesce((SELECT count(*) FROM found f WHERE f.ref_table = a.ref_table AND f.period = a.period), 0) AS n_orphans
       FROM (SELECT DISTINCT ref_table, strftime(seen_at, '%Y-%m') AS period, from_id, to_key FROM refs) a GROUP BY 1, 2""",
+    "p5_composite": r"""
+      WITH refs AS (SELECT DISTINCT indexed_at AS seen_at, from_node_id AS from_id, nullif(trim(regexp_replace(trim(reference_name), '\(\)$', '')), '') AS name,
+          nullif(file_path, '') AS file_path, nullif(language, '') AS language FROM unresolved_refs),
+      marked AS (SELECT *, strftime(seen_at, '%Y-%m') AS period, name IS NOT NULL AND file_path IS NOT NULL AND language IS NOT NULL AS whole,
+        NOT EXISTS (SELECT 1 FROM graph_nodes n WHERE (r.name IS NULL OR n.name = r.name) AND (r.file_path IS NULL OR n.file_path = r.file_path)
+          AND (r.language IS NULL OR n.language = r.language) AND n.indexed_at <= r.seen_at AND (n.removed_at IS NULL OR n.removed_at > r.seen_at)) AS lost
+        FROM refs r WHERE coalesce(name, file_path, language) IS NOT NULL)
+      SELECT DISTINCT m.match_rule, period, from_id, name, file_path, language FROM marked,
+        (VALUES ('simple'), ('partial'), ('full')) AS m(match_rule)
+      WHERE CASE m.match_rule WHEN 'simple' THEN whole AND lost WHEN 'partial' THEN lost ELSE lost OR NOT whole END""",
 }

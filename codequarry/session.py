@@ -27,14 +27,8 @@ def build_session(app: str = "codequarry", cpus: int | None = None, memory: str
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` by checkpoint() in the folder that ``spark.checkpoint.dir`` names.
-
-    On a cluster that folder is shared, so a lost executor loses nothing; where the session names none, it is an error. Only
-    a local session gets a private folder. Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` when the session starts,
-    as ``build_session`` does: then files of frames that are no longer in use are removed.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``, which all executors share; only a local session gets a private one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="codequarry-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` by checkpoint() in the session's shared folder, so a lost executor loses nothing.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` when the session starts, as ``build_session`` does: then files of
+    frames that are no longer in use are removed.
+    """
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

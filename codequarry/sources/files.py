@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,24 +73,69 @@ def relative_path(path: str | Column, root: str) -> Column:
     return F.regexp_replace(c, "^" + re.escape(root.rstrip("/")) + "/", "")
 
 
-def scan_sources(spark: SparkSession, root: str, *, endings: Iterable[str] = CHUNKED, rules: Iterable[str] = IGNORED, longest: int | None = None) -> DataFrame:
+#: The files of a tree that name what is left out.
+IGNORE_FILES = (".gitignore", ".indexignore")
+
+
+def ignore_rules(spark: SparkSession, root: str, names: Iterable[str] = IGNORE_FILES) -> tuple[str, ...]:
+    """The default rules and those of the ignore files right below a root, in order; files that aren't there add none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rules = list(IGNORED)
+    for name in names:
+        path = hadoop.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                rules += bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines()
+            finally:
+                stream.close()
+    return tuple(rules)
+
+
+def _listed(spark: SparkSession, root: str, endings: Iterable[str]) -> DataFrame:
+    """The files below a root with one of the endings: Spark lists them, none is read until its content is asked for."""
+    ending = ",".join(f"{e},{e.upper()}" for e in endings)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{ending}}}").load(root)
+
+
+def scan_sources(spark: SparkSession, root: str, *, endings: Iterable[str] = CHUNKED, rules: Iterable[str] | None = None, longest: int | None = None) -> DataFrame:
     """``file_path, content, file_hash, language``: the text files below a root, relative paths, one row each.
 
-    Files are listed and read by Spark; those that are ignored, have another ending or more than ``longest`` bytes are
-    dropped before their bytes are decoded.
+    Rules are by default those of the tree's ignore files after the fixed ones. Names are listed first; only the files that
+    stay are opened, and of those only up to ``longest`` bytes.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = raw.withColumn("file_path", relative_path("path", root)).where(extension("file_path").isin(*endings) & ~ignored("file_path", rules))
+    kept = kept_files(spark, root, endings=endings, rules=rules)
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r.path)) for r in kept.select("path").toLocalIterator()]  # the listing, which the driver has made
+    shape = "path string, modificationTime timestamp, length bigint, content binary"
+    raw = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], shape)
     if longest is not None:
-        own = own.where(F.col("length") <= longest)
+        raw = raw.where(F.col("length") <= longest)
+    own = raw.withColumn("file_path", relative_path("path", root))
     text = F.decode("content", "utf-8")
     return own.select("file_path", text.alias("content"), F.sha2("content", 256).alias("file_hash"), language_of("file_path").alias("language"))
 
 
-def count_files(spark: SparkSession, root: str, *, endings: Iterable[str] = LINKED, rules: Iterable[str] = IGNORED) -> DataFrame:
+def kept_files(spark: SparkSession, root: str, *, endings: Iterable[str] = CHUNKED, rules: Iterable[str] | None = None) -> DataFrame:
+    """``path, file_path, length`` of the files that a scan reads."""
+    endings = list(endings)
+    listed = _listed(spark, root, endings).select("path", relative_path("path", root).alias("file_path"), "length")
+    return listed.where(extension("file_path").isin(*endings) & ~ignored("file_path", ignore_rules(spark, root) if rules is None else rules))
+
+
+def skipped_files(spark: SparkSession, root: str, *, endings: Iterable[str] = CHUNKED, rules: Iterable[str] | None = None, longest: int | None = None) -> DataFrame:
+    """``file_path, reason``: what a scan leaves out: ``ending``, ``ignored`` or ``size``."""
+    rules = ignore_rules(spark, root) if rules is None else rules
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative_path("path", root).alias("file_path"), "length")
+    reason = F.when(ignored("file_path", rules), "ignored").when(~extension("file_path").isin(*endings), "ending")
+    if longest is not None:
+        reason = reason.when(F.col("length") > longest, "size")
+    return every.select("file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def count_files(spark: SparkSession, root: str, *, endings: Iterable[str] = LINKED, rules: Iterable[str] | None = None) -> DataFrame:
     """``n_files, n_folders`` below a root; no file is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative_path("path", root).alias("p"))
-    own = raw.where(extension("p").isin(*endings) & ~ignored("p", rules) & ~F.col("p").rlike(r"(^|/)\."))
+    own = kept_files(spark, root, endings=endings, rules=rules).select(F.col("file_path").alias("p")).where(~F.col("p").rlike(r"(^|/)\."))
     return own.agg(F.count("*").alias("n_files"), F.countDistinct(F.regexp_extract("p", "^(.*/)?", 1)).alias("n_folders"))
 
 

@@ -25,8 +25,15 @@ def test_index_search_and_graph(spark, tmp_path):
     hits = ix.search(SearchOptions(text="abacus", vector=letters()(["abacus"])[0])).collect()
     assert hits[0].file_path == "pay.ts" and hits[0].snippet.startswith("export")
     assert ix.search(SearchOptions(text="abacus")).first().file_path == "pay.ts"
+    asked = ix.search(SearchOptions(text="zzz gggg hhhh", mode="vector-only")).collect()  # the question is embedded
+    assert asked and {r.id for r in asked} == {r.id for r in ix.search(SearchOptions(vector=letters()(["zzz gggg hhhh"])[0], mode="vector-only")).collect()}
+    node = ix.nodes_by_file("pay.ts").first()
+    assert ix.node(node.id).first().qualified_name == node.qualified_name and ix.node("none").count() == 0
+    assert {r.role for r in ix.call_graph("Shop.sell").collect()} == {"callee"} and ix.called_by().count() == 1
+    assert {r.depth for r in ix.within("Shop.sell", 3).collect()} == {0, 1}
     ix.index_dependencies(str(root), "p")
     assert [r.source_file for r in ix.files_importing("pay").collect()] == ["shop.ts"]
+    assert [r[0] for r in ix.dependencies("shop.ts").collect()] == ["pay.ts"] and [r[0] for r in ix.dependents("pay.ts").collect()] == ["shop.ts"]
 
     (root / "shop.ts").write_text("function other(x) {\n}\n")
     (root / "pay.ts").unlink()
@@ -69,5 +76,18 @@ def test_providers(spark):
     assert providers.with_retries(flaky, base_s=0.0)(5) == 5 and len(calls) == 3
     with pytest.raises(ZeroDivisionError):
         providers.with_retries(lambda: 1 / 0, retries=1, base_s=0.0)()
+    def unsteady():
+        tries = []
+
+        def call(texts):
+            tries.append(1)
+            if len(tries) % 2:
+                raise ValueError
+            return [t.upper() for t in texts]
+
+        return call
+
+    got = providers.summarize(rows, "t", "s", unsteady, longest=2, batch=1, base_s=0.0)
+    assert {r.id: r.s for r in got.collect()} == {"a": "AB...", "b": "", "c": " "} and got.columns == ["id", "t", "s"]
     texts = spark.createDataFrame([("\n  // Makes it.\ncode",), (None,), ("",)], "t string").select(providers.local_summary(F.col("t")).alias("s")).collect()
     assert [r.s for r in texts] == ["Makes it.", "", ""]

@@ -155,6 +155,14 @@ def test_scan_store_and_config(spark, tmp_path):
     scanned = files.scan_sources(spark, root, longest=100)
     assert {(r.file_path, r.language) for r in scanned.collect()} == {("src/a.ts", "typescript"), ("src/b.py", "python")}
     assert tuple(files.count_files(spark, root).first()) == (3, 1)
+    assert {tuple(r) for r in files.skipped_files(spark, root, longest=100).collect()} == {("dist/c.ts", "ignored"), ("notes.txt", "ending"), ("src/big.ts", "size")}
+    (tmp_path / "tree/.gitignore").write_text("# own\n*.py\n")
+    (tmp_path / "tree/.indexignore").write_text("!src/b.py\nsrc/big*\n")
+    assert {r.file_path for r in files.kept_files(spark, root).collect()} == {"src/a.ts", "src/b.py"}
+    (tmp_path / "tree/src/odd [1]{x}.ts").write_text("odd")
+    assert [r.content for r in files.scan_sources(spark, root, endings=["ts"], rules=["a.ts", "big.ts", "dist"]).collect()] == ["odd"]
+    (tmp_path / "tree/src/odd [1]{x}.ts").unlink()
+    assert files.scan_sources(spark, root, endings=["rs"]).count() == 0
     store = Store(spark, str(tmp_path / "store"))
     assert store.read("code_chunks").count() == 0
     store.append("code_chunks", scanned.select("file_path", "content", "file_hash", F.lit("p").alias("project_path"), F.col("file_path").alias("id")))
@@ -175,3 +183,32 @@ def test_scan_store_and_config(spark, tmp_path):
     assert {tuple(r) for r in files.parse_roots(roots, "v").collect()} == {(0, "my-app", "My App", "/w/app"), (1, "lib", "lib", "/w/lib"), (3, "z", "z", "/z")}
     (tmp_path / "rows.json").write_text('{"messages": [{"a": 1}, {"a": 2}]}')
     assert sorted(r.j for r in files.json_rows(spark, str(tmp_path / "rows.json"), "j").collect()) == ['{"a":1}', '{"a":2}']
+
+
+def test_word_index_gives_the_same_scores(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cache parser cache"), (2, "driver of a cache"), (3, None), (4, ""), (5, "vector vector parser"), (5, "vector vector parser")], "id long, t string")
+    ix = ranking.WordIndex(spark, str(tmp_path / "words")).write(docs, "id", "t")
+    for query in ("cache parser cache", "vector", "nothing known", "", "the of"):
+        want = sorted((r.id, round(r.score, 9)) for r in ranking.bm25_scores(docs, "id", "t", query).collect())
+        assert sorted((r.id, round(r.score, 9)) for r in ix.scores(query, "id").collect()) == want
+    plan = ix.scores("vector", "id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    empty = ranking.WordIndex(spark, str(tmp_path / "none")).write(docs.limit(0), "id", "t")
+    assert empty.scores("cache", "id").count() == 0
+
+
+def test_numbers_of_hot_names(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("key"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 7)).alias("base"))
+    rows = rows.unionByName(spark.createDataFrame([("z1", "hot-2"), ("z2", "hot-3"), ("z3", "hot-900"), ("z4", "hot-99999"), ("z5", "n1-4")], "key string, base string"))
+    got = {r.key: r.slug for r in index.unique_slugs(rows, "key", "base", "key").collect()}
+    by, taken, want = {}, {r.base for r in rows.select("base").distinct().collect()}, {}
+    for r in sorted(rows.collect()):
+        n = by.get(r.base)
+        if n is None:
+            want[r.key], by[r.base] = r.base, 2
+            continue
+        while f"{r.base}-{n}" in taken:
+            n += 1
+        want[r.key], by[r.base] = f"{r.base}-{n}", n + 1
+    assert got == want and len(set(got.values())) == len(got)
+    assert index.unique_slugs(rows.limit(0), "key", "base", "key").count() == 0

@@ -176,3 +176,27 @@ def test_reindex_sink(spark, tmp_path):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "file_path string, file_hash string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4"), ("c", None)], "file_path string, file_hash string")
     assert {tuple(r) for r in streams.watched_changes(old, now).collect()} == {("b", "change"), ("d", "add")}
+
+
+def test_key_search_and_selectors_without_loops(spark):
+    rows = spark.createDataFrame([("a", '{"Token": 1, "x": {"my_token": {"token": [1]}}, "l": [{"token": 2}, 5]}'), ("b", "[[{\"token\": 3}]]"), ("c", "{"), ("d", None), ("e", "{}")], "id string, m string")
+    found = s.key_search(rows, "id", "m", "(?i)token")
+    assert {tuple(r) for r in found.collect()} == {("a", "$.Token", "1"), ("a", "$.x.my_token", '{"token":[1]}'), ("a", "$.x.my_token.token", "[1]"), ("a", "$.l[0].token", "2"), ("b", "$[0][0].token", "3")}
+    assert {tuple(r) for r in s.key_search(rows, "id", "m", "(?i)token", depth=0).collect()} == {("a", "$.Token", "1")}
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Generate explode") == 1
+    held = spark.createDataFrame([("1", "AlphaOne", "First"), ("2", "BetaTwo", "Second one"), ("3", None, None), ("4", "AlphaOne", "x")], "id string, slug string, title string")
+    asked = spark.createDataFrame([("alphaone",), ("2",), ("TWO",), ("st",), ("o",), ("none",), ("",), (None,), ("second ONE",)], "selector string")
+    out = s.resolve_selector(held, asked)
+    assert {tuple(r) for r in out.collect()} == {("alphaone", "1", 1), ("2", "2", 1), ("TWO", "2", 1), ("st", "1", 1), ("o", None, 3), ("none", None, 0), ("second ONE", "2", 1)}
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and s.resolve_selector(held.limit(0), asked).count() == 7
+
+
+def test_groups_numbers_and_fallbacks(spark):
+    rows = spark.createDataFrame([("u", "a", 1), ("u", "b", 3), ("u", "b", 0), ("v", "c", None), ("w", "d", 2), (None, "e", 1)], "owner string, grp string, n int")
+    assert {tuple(r) for r in s.best_group(rows, "owner", "grp", F.coalesce("n", F.lit(0))).collect()} == {("u", "b", 3), ("v", "c", 0), ("w", "d", 2), (None, "e", 1)}
+    assert {r.owner: r.free for r in s.first_free(rows, "owner", "n").collect() if r.owner} == {"u": 2, "w": 1}
+    assert {r.grp for r in s.fallback_rows(rows, "owner", F.col("n") > 2).collect()} == {"b", "c", "d"}
+    assert {tuple(r) for r in s.first_source([rows.select("grp"), spark.createDataFrame([("a",), ("z",), (None,)], "grp string")], "grp").collect()} == {("a", 0), ("b", 0), ("c", 0), ("d", 0), ("e", 0), ("z", 1)}
+    assert {(r.owner, r.grp): r.place for r in s.ranked(rows.select("owner", "grp").distinct(), "owner", "grp", ("b",)).collect()}["u", "b"] == 1
+    v = spark.createDataFrame([('{"properties": {"info": {"sessionID": " s1 "}}}',), ('{"session": {"id": "s2"}}',), ("{}",), (None,)], "p string")
+    assert [r[0] for r in v.select(s.event_session(s.json("p"))).collect()] == ["s1", "s2", None, None]
