@@ -350,6 +350,13 @@ ORACLE = {
     "belongs_to_project": """SELECT project_path, count(*) FILTER (file_path = project_path OR starts_with(file_path, project_path || '/')) AS n_inside, count(*) AS n_files
       FROM (SELECT DISTINCT project_path, file_path FROM graph_nodes) GROUP BY 1""",
     "slugify_titles": f"SELECT doc_id, coalesce(nullif({_SLUG.format('text', 48)}, ''), 'untitled') AS slug FROM documents",
+    "unique_slugs": rf"""WITH b AS (SELECT id AS key, min(coalesce(nullif({_SLUG.format('name', 48)}, ''), 'untitled')) AS base FROM graph_nodes GROUP BY 1),
+      n AS (SELECT key, base, row_number() OVER (PARTITION BY base ORDER BY key) AS n FROM b),
+      t AS (SELECT stem, no, row_number() OVER (PARTITION BY stem ORDER BY no) AS i FROM (SELECT DISTINCT regexp_extract(base, '^(.*)-(\d{{1,9}})$', 1) AS stem,
+        CAST(nullif(regexp_extract(base, '^(.*)-(\d{{1,9}})$', 2), '') AS INTEGER) AS no FROM b) WHERE stem <> '' AND no >= 2)
+      SELECT key, CASE WHEN n = 1 THEN base ELSE base || '-' || (n + (SELECT count(*) FROM t WHERE t.stem = base AND t.no - t.i + 1 <= n)) END AS slug FROM n""",
+    "json_key_search": """WITH c AS (SELECT DISTINCT id, metadata FROM code_chunks WHERE json_valid(metadata))
+      SELECT c.id, t.fullkey AS path, CAST(t.value AS VARCHAR) AS value FROM c, json_tree(c.metadata) t WHERE regexp_matches(t.key, '(?i)token|index')""",
     "parse_timestamps": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 4 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 5 THEN 0 ELSE (epoch_us(ts) // 1000) END AS ms FROM events",
     "ulid_timestamp": "SELECT doc_id, (epoch_us(created_at) // 1000) AS ms FROM documents",
     "normalize_paths": "SELECT DISTINCT CASE WHEN target_file = '' THEN '/' ELSE target_file END AS path FROM dependency_graph",
