@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,7 +303,7 @@ class Model:
             held = self.__dict__["_held"] = {i: tuple(tuple(self.steps[g, p, t] for t in (0, 1)) for p in (0, 1)) for i, g in enumerate(GAPS) if (g, 0, 0) in self.steps}
         return held
 
-    def ends(self, at: list[int], codes: list[int], kinds: list[str], odds: list[float | None] | None = None) -> list[int]:
+    def ends(self, at: list[int], codes: list[int], emissions: list[float]) -> list[int]:
         """The indexes of those places that end a sentence."""
         out, mine = [], []
         for i, code in enumerate(codes):
@@ -312,7 +313,7 @@ class Model:
                 continue
             mine = [j for j in mine if at[j] < at[i]]
             if mine:
-                tags = self.viterbi([codes[j] for j in mine], [self.emission(codes[j], kinds[j], odds[j] if odds else None) for j in mine])
+                tags = self.viterbi([codes[j] for j in mine], [emissions[j] for j in mine])
                 out += [j for j, tag in zip(mine, tags) if tag]
                 mine = []
             out.append(i)
@@ -324,7 +325,21 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     if not found:
         return []
     at, codes, kinds = map(list, zip(*found))
-    return [at[i] for i in model.ends(at, codes, kinds)]
+    return [at[i] for i in model.ends(at, codes, [0.0 if c == LAST else model.emission(c, k, None) for c, k in zip(codes, kinds)])]
+
+
+def _flat_places(b: pa.RecordBatch, score) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's places begin, and the codes and scores of all places of a batch. Equal places are scored once."""
+    lists = b.column("code")
+    begins = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = b.column("kind").flatten().dictionary_encode()
+    names = kinds.dictionary.to_pylist()
+    pairs, first, place = np.unique(codes * len(names) + kinds.indices.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    own = b.column("odds")
+    odds = own.flatten().to_numpy(zero_copy_only=False)[first].tolist() if own.null_count == 0 else [math.nan] * len(first)
+    scores = [0.0 if codes[i] == LAST else score(int(codes[i]), names[p % len(names)], None if math.isnan(o) else o) for i, p, o in zip(first.tolist(), pairs.tolist(), odds)]
+    return begins, codes, np.array(scores, np.float64)[place]
 
 
 def _count_letters(text: str, seen: Counter) -> None:
@@ -367,26 +382,24 @@ def _counted(df: DataFrame, work) -> DataFrame:
 def find_places(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, row, at, next, code, kind``: the candidates and block ends of each text with any, the first step of all others.
 
-    ``next`` is where the first character after a place stands that is no white space; the first entry of all lists but
-    ``next`` is empty, so that ``next`` begins with where the text does.
+    ``next`` has one entry more: where the text's first character stands that is no white space, and the first one after
+    each place.
     """
     src = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     schema = T.StructType([T.StructField("key", src.schema["key"].dataType), *(T.StructField(c, T.ArrayType(k)) for c, k in (("at", T.IntegerType()), ("next", T.IntegerType()), ("code", T.IntegerType()), ("kind", T.StringType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, out = [], ([], [], [], [])
+            rows, at, nxt, codes, kinds, ends = [], [], [], [], [], [0]
             for i, t in enumerate(b.column("text").to_pylist()):
                 found = list(places(t))
                 if found:
-                    at, codes, kinds = map(list, zip(*found))
-                    nxt = [_SPACE.match(t, a).end() for a in (0, *at)]
-                    rows.append(i)
-                    for column, values in zip(out, (at, nxt, codes, kinds)):
-                        column.append(values)
+                    a, c, k = zip(*found)
+                    rows.append(i), at.extend(a), codes.extend(c), kinds.extend(k), ends.append(len(at))
+                    nxt.append(_SPACE.match(t).end()), nxt.extend([_SPACE.match(t, x).end() for x in a])
             if rows:
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), *(pa.array(c, k) for c, k in zip(out, (ints, ints, ints, pa.list_(pa.string()))))], names=["key", "at", "next", "code", "kind"])
+                held = lambda values, kind, more=0: pa.ListArray.from_arrays(pa.array(np.array(ends) + more * np.arange(len(ends)), pa.int32()), pa.array(values, kind))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), held(at, pa.int32()), held(nxt, pa.int32(), 1), held(codes, pa.int32()), held(kinds, pa.string())], names=["key", "at", "next", "code", "kind"])
 
     return src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
@@ -397,8 +410,8 @@ def _with_odds(found: DataFrame, model: Model) -> DataFrame:
         return found.withColumn("odds", F.lit(None).cast("array<double>"))
     each = found.select("row", F.posexplode("kind").alias("i", "kind")).join(model.table, "kind")
     own = each.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "odds"))).alias("own"))
-    odds = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.col("own")[i])
-    return found.join(own, "row", "left").withColumn("odds", F.when(F.col("own").isNotNull(), odds)).drop("own")
+    odds = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.coalesce(F.col("own")[i], F.lit(float("nan"))))
+    return found.join(own, "row", "left").withColumn("odds", odds).drop("own")
 
 
 def train(documents: DataFrame, text: str = "text", *, found: DataFrame | None = None) -> Model:
@@ -435,33 +448,29 @@ def train(documents: DataFrame, text: str = "text", *, found: DataFrame | None =
     for k, (off, on) in letters.items():
         model.letters[k] = max(-2.0, min(2.0, math.log((on + DOUBT) / ((on + off) * share + DOUBT))))  # seen against expected
 
-    def certain(codes: list[int], kinds_: list[str], odds: list[float | None] | None, seen: Counter) -> None:
-        before: int | None = 1
-        for i, code in enumerate(codes):
-            if code == LAST:
-                before = 1
-                continue
-            if code >> 5 == _BARE:
-                before = 1
-                continue
-            own = model.known(code, kinds_[i], odds[i] if odds else None)
-            follow = FOLLOWS[code & 7]
-            tag = 1 if follow == "end" else int(own > 0) if abs(own) >= CERTAIN else None
-            if tag is not None:
-                if follow != "end":
-                    seen[f"f {follow}", str(tag)] += 1
-                if before is not None:
-                    seen[f"s {GAPS[code >> 3 & 3]} {before}", str(tag)] += 1
-            before = tag
-
-    seen = {(r.key, r.what): r.n for r in _counted(_with_odds(found, model).select("code", "kind", "odds"), certain).collect()}
-    total = [sum(n for (k, w), n in seen.items() if k[0] == "f" and w == t) + 6 for t in "01"]
-    for f in FOLLOWS[1:]:
-        no, yes = (seen.get((f"f {f}", t), 0) + 1 for t in "01")
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts what follows certain tags, and how tags follow each other: ``f`` (follow, tag) and ``s`` (gap, tag before, tag)."""
+        for b in batches:
+            _, codes, known = _flat_places(b, model.known)
+            last = codes == LAST
+            bare = ~last & (codes >> 5 == _BARE)
+            follow, gap = codes & 7, codes >> 3 & 3
+            tag = np.where(last | bare | (follow == 0), 1, np.where(np.abs(known) >= CERTAIN, known > 0, -1)).astype(np.int64)
+            before = np.concatenate([[1], tag[:-1]])  # a row ends with the end of a block
+            sure = ~last & ~bare & (tag >= 0)
+            f = np.bincount((follow * 2 + tag)[sure & (follow > 0)], minlength=2 * len(FOLLOWS))
+            t = np.bincount((gap * 4 + before * 2 + tag)[sure & (before >= 0)], minlength=4 * len(GAPS))
+            yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(f) + ["s"] * len(t)), pa.array([*range(len(f)), *range(len(t))], pa.int32()), pa.array(np.concatenate([f, t]), pa.int64())], names=["key", "at", "n"])
+
+    taught = _with_odds(found, model).select("code", "kind", "odds").mapInArrow(certain, "key string, at int, n long").groupBy("key", "at").agg(F.sum("n").alias("n"))
+    seen = {(r.key, r.at): r.n for r in taught.collect()}  # a row for each cell of two small tables
+    total = [sum(seen.get(("f", 2 * i + t), 0) for i in range(1, len(FOLLOWS))) + 6 for t in (0, 1)]
+    for i, f in enumerate(FOLLOWS[1:], 1):
+        no, yes = (seen.get(("f", 2 * i + t), 0) + 1 for t in (0, 1))
         model.follows[f] = max(-3.0, min(3.0, math.log(yes / total[1]) - math.log(no / total[0])))
-    for gap in GAPS:
+    for i, gap in enumerate(GAPS):
         for p in (0, 1):
-            n = [seen.get((f"s {gap} {p}", t), 0) + 5 for t in "01"]
+            n = [seen.get(("s", 4 * i + 2 * p + t), 0) + 5 for t in (0, 1)]
             for t in (0, 1):
                 model.steps[gap, p, t] = math.log(n[t] / sum(n))
     return model
@@ -481,11 +490,16 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, no, start, end = [], [], [], []
-            for i, (at, nxt, codes, kinds, odds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "next", "code", "kind", "odds")))):
-                begin = nxt[0]
-                for k, j in enumerate(model.ends(at, codes, kinds, odds)):
-                    rows.append(i), no.append(k), start.append(begin), end.append(at[j])
-                    begin = nxt[j + 1]
+            begins, codes, emissions = _flat_places(b, model.emission)
+            at, nxt, begins = b.column("at").flatten().to_pylist(), b.column("next").flatten().to_pylist(), begins.tolist()
+            codes, emissions = codes.tolist(), emissions.tolist()
+            for i, (s, e) in enumerate(zip(begins, begins[1:])):
+                own = at[s:e]
+                shift = s + i  # of the row's first entry in next
+                begin = nxt[shift]
+                for k, j in enumerate(model.ends(own, codes[s:e], emissions[s:e])):
+                    rows.append(i), no.append(k), start.append(begin), end.append(own[j])
+                    begin = nxt[shift + j + 1]
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), *(pa.array(v, pa.int64()) for v in (no, start, end))], names=[key, "sent_no", "sent_start", "sent_end"])
 
