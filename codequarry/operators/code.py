@@ -134,9 +134,11 @@ def extract_calls(sources: DataFrame, keys: list[str], content: str = "content",
     """
     lines = source_lines(sources.withColumn("_family", family(language)), [*keys, "_family"], content, r"[a-zA-Z0-9_]\s*\(")
     fam, plain = F.col("_family"), F.col("_family") == "python"
-    found = lambda group: F.when(plain, F.regexp_extract_all("text", F.lit(PLAIN_CALL), F.lit(group))).otherwise(F.regexp_extract_all("text", F.lit(DOTTED_CALL), F.lit(group)))
-    gaps = F.when(plain, F.split("text", PLAIN_CALL, -1)).otherwise(F.split("text", DOTTED_CALL, -1))
-    own = lines.withColumn("whole", found(0)).withColumn("names", found(1)).withColumn("gaps", gaps)
+    first = r"(?<![a-zA-Z_])"  # a match never starts within a word, so a long word without a parenthesis is tried once
+    whole = F.when(plain, F.regexp_extract_all("text", F.lit(first + PLAIN_CALL), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(first + DOTTED_CALL), F.lit(0)))
+    gaps = F.when(plain, F.split("text", first + PLAIN_CALL, -1)).otherwise(F.split("text", first + DOTTED_CALL, -1))
+    own = lines.withColumn("whole", whole).where(F.size("whole") > 0).withColumn("gaps", gaps)
+    own = own.withColumn("names", F.transform("whole", lambda w: strip(F.substring(w, F.lit(1), F.length(w) - 1))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     sized = F.zip_with(F.slice("gaps", 1, F.size("whole")), "whole", lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
     offsets = F.aggregate(sized, start, lambda s, x: F.struct((s["at"] + x["g"] + x["w"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["g"])).alias("all")))["all"]
