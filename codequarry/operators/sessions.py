@@ -66,19 +66,27 @@ def string_at(v: Column, path: str) -> Column:
 def scalar_at(v: Column, path: str) -> Column:
     """A string or a number as text."""
     kind = F.schema_of_variant(_at(v, path))
-    return F.when((kind == "STRING") | (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(v, path, "string"))
+    return F.when(kind.rlike(r"^(?:STRING|BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, path, "string"))
+
+
+#: From the first to the last character that is no white space.
+_FILLED = r"[^\s\p{Z}\x{FEFF}](?:[\s\S]*[^\s\p{Z}\x{FEFF}])?"
+
+
+def _filled(c: Column) -> Column:
+    """A text without outer white space; null where nothing is left."""
+    return F.regexp_substr(c, F.lit(_FILLED))
 
 
 def first_string(v: Column, paths: Sequence[str]) -> Column:
-    """The first string that isn't blank, trimmed."""
-    found = F.array_compact(F.array(*[string_at(v, p) for p in paths]))
-    return F.get(F.filter(F.transform(found, lambda x: fx.strip(x)), lambda x: x != ""), F.lit(0))
+    """The first string that isn't blank, trimmed. Paths after it are not looked at."""
+    return F.coalesce(*[_filled(string_at(v, p)) for p in paths])
 
 
 def role(v: Column) -> Column:
     """assistant, user, system or tool, by the first candidate that names one; else null."""
-    found = F.transform(F.array(*[string_at(v, p) for p in ROLE_PATHS]), lambda x: F.lower(x))
-    return F.get(F.filter(found, lambda x: x.isin(*ROLES)), F.lit(0))
+    known = F.lit(rf"\A(?:{'|'.join(ROLES)})\z")
+    return F.coalesce(*[F.regexp_substr(F.lower(string_at(v, p)), known) for p in ROLE_PATHS])
 
 
 def parts_text(v: Column, path: str, reasoning: bool = False) -> Column:
@@ -103,9 +111,8 @@ def reply_text(v: Column, reasoning: bool = False) -> Column:
 
 def first_time(v: Column, paths: Sequence[str]) -> Column:
     """The first positive time among the candidates, in epoch milliseconds; else 0."""
-    found = F.array_compact(F.array(*[scalar_at(v, p) for p in paths]))
-    times = F.filter(F.transform(found, lambda x: fx.epoch_ms(x)), lambda t: t > 0)
-    return F.coalesce(F.get(times, F.lit(0)), F.lit(0).cast("long"))
+    one = lambda p: F.get(F.filter(F.transform(F.array(scalar_at(v, p)), lambda x: fx.epoch_ms(x)), lambda t: t > 0), F.lit(0))
+    return F.coalesce(*map(one, paths), F.lit(0).cast("long"))
 
 
 def changed_paths(v: Column) -> Column:
@@ -125,8 +132,7 @@ def with_message_fields(messages: DataFrame, payload: str = "payload", position:
     v = F.col("_v")
     m = m.withColumn("role", role(v)).withColumn("reply", reply_text(v)).withColumn("created_ms", first_time(v, TIME_PATHS))
     known = F.coalesce("role", F.lit("unknown"))
-    ids = F.transform(F.array_compact(F.array(*[scalar_at(v, p) for p in ID_PATHS])), lambda x: fx.strip(x))
-    own = F.get(F.filter(ids, lambda x: x != ""), F.lit(0))
+    own = F.coalesce(*[_filled(scalar_at(v, p)) for p in ID_PATHS])
     flat = fx.strip(F.regexp_replace("reply", r"\s+", " "))
     content = F.concat_ws(":", F.lit("content"), known, F.col("created_ms").cast("string"), F.length(flat).cast("string"), F.substring(flat, 1, 400))
     key = F.when(own.isNotNull(), F.concat_ws(":", F.lit("id"), own, fx.fingerprint(known, F.col("reply")))).when(flat != "", content)
