@@ -72,6 +72,19 @@ def one_spelling(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(c), r"\\", "/"), r"/(?:\.?/)+", "/")
 
 
+def scoped_path(owner: str | Column, path: str | Column) -> Column:
+    """``owner::path``, the key of what an owner does with a path."""
+    return F.concat(_col(owner).cast("string"), F.lit("::"), _col(path))
+
+
+def scoped_parts(key: str | Column) -> Column:
+    """A struct ``owner, path`` of such a key, cut at its first ``::``; null without both, or where the owner is no number."""
+    at = F.instr(_col(key), F.lit("::"))
+    owner = F.substring(_col(key), F.lit(1), at - 1).try_cast("double")
+    path = F.substring(_col(key), at + 2, F.length(_col(key)))
+    return F.when((at > 1) & (path != "") & owner.isNotNull(), F.struct(owner.alias("owner"), path.alias("path")))
+
+
 def path_id(c: str | Column) -> Column:
     """The first 16 hex digits of the sha256 of the lower-cased path."""
     return F.substring(F.sha2(F.lower(_col(c)), 256), 1, 16)

@@ -31,8 +31,19 @@ def with_retries(call: Callable, *, retries: int = 5, base_s: float = 2.0, wait_
     return run
 
 
-def _in_batches(rows: DataFrame, text: str, out: str, kind: str, provider: Callable, fill: Callable, batch: int, pause_s: float, retries: int, base_s: float, wait_s: Callable[[Exception], float | None]) -> DataFrame:
-    """``rows`` with what a provider, made once a task, gives for each text; calls of up to ``batch`` texts, with retries."""
+def _in_batches(rows: DataFrame, text: str, out: str, kind: str, provider: Callable, fill: Callable, batch: int, pause_s: float, retries: int, base_s: float, wait_s: Callable[[Exception], float | None], failed: str | None = None) -> DataFrame:
+    """``rows`` with what a provider, made once a task, gives for each text; calls of up to ``batch`` texts, with retries.
+
+    A call that fails for good fails the job, or gives ``failed`` for each of its texts.
+    """
+
+    def answers(call: Callable, texts: list) -> Sequence:
+        try:
+            return call(texts)
+        except Exception:
+            if failed is None:
+                raise
+            return [failed] * len(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
@@ -40,7 +51,7 @@ def _in_batches(rows: DataFrame, text: str, out: str, kind: str, provider: Calla
             call = call or with_retries(provider(), retries=retries, base_s=base_s, wait_s=wait_s)
             texts, values = [fill(t) for t in b[text]], []
             for s in range(0, len(texts), batch):
-                got = call(texts[s : s + batch])
+                got = answers(call, texts[s : s + batch])
                 if len(got) != len(texts[s : s + batch]):
                     raise ValueError("a provider gave another number of results than texts")
                 values += got
@@ -67,10 +78,13 @@ def embed_query(text: str, provider: Callable[[], Embed]) -> list[float]:
     return list(map(float, with_retries(provider())([text if text.strip() else " "])[0]))
 
 
-def summarize(rows: DataFrame, text: str, out: str, provider: Callable[[], Callable[[list[str]], Sequence[str]]], *, longest: int = 2000, batch: int = 10, pause_s: float = 0.0, retries: int = 5, base_s: float = 2.0, wait_s: Callable[[Exception], float | None] = lambda e: None) -> DataFrame:
-    """``rows`` with a provider's summary of each text, cut to ``longest`` characters and marked before it is sent."""
+def summarize(rows: DataFrame, text: str, out: str, provider: Callable[[], Callable[[list[str]], Sequence[str]]], *, longest: int = 2000, batch: int = 50, pause_s: float = 0.0, retries: int = 2, base_s: float = 1.0, wait_s: Callable[[Exception], float | None] = lambda e: None, failed: str | None = "") -> DataFrame:
+    """``rows`` with a provider's summary of each text, cut to ``longest`` characters and marked before it is sent.
+
+    A batch whose last try fails has ``failed`` for its summaries; None lets the job fail instead.
+    """
     shown = rows.withColumn("_shown", prompt_text(F.coalesce(F.col(text), F.lit("")), longest))
-    return _in_batches(shown, "_shown", out, "string", provider, lambda t: t, batch, pause_s, retries, base_s, wait_s).drop("_shown")
+    return _in_batches(shown, "_shown", out, "string", provider, lambda t: t, batch, pause_s, retries, base_s, wait_s, failed).drop("_shown")
 
 
 def prompt_text(content: str | Column, longest: int = 2000) -> Column:

@@ -93,8 +93,8 @@ class WordIndex:
         own = cut(docs.select(F.col(key).alias("key"), tokens(text).alias("tk")).withColumn("doc", F.monotonically_increasing_id()))
         each = own.select("doc", "key", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
         lists = each.groupBy("doc", "key", "dl", "term").agg(F.count("*").alias("tf")).withColumn("part", self._part(F.col("term")))
-        # a hot term is spread over tasks: sorting is within files, and a part may have several
-        lists.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings")
+        # ranges of part and term, so a task writes few files; a hot term is spread over tasks, as documents are in the range too
+        lists.repartitionByRange("part", "term", "doc").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings")
         own.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tk")), F.lit(1.0)).alias("mean"), F.max("key").alias("key")).write.mode("overwrite").parquet(f"{self.folder}/corpus")
         return self
 

@@ -18,6 +18,7 @@ TEXT_PATHS = (
     "$.message.content", "$.message.text",
 )
 PART_PATHS = ("$.parts", "$.result.parts", "$.message.parts", "$.content", "$.result.content", "$.message.content", "$.output")
+PATCH_PATHS = ("$.parts", "$.message.parts", "$.result.parts")
 ID_PATHS = ("$.id", "$.messageId", "$.info.id", "$.info.messageID", "$.uuid", "$.ulid", "$.eventId", "$.metadata.id", "$.properties.id")
 TIME_PATHS = (
     "$.createdAt", "$.created_at", "$.timestamp", "$.info.time.created", "$.info.time.createdAt", "$.info.createdAt",
@@ -116,17 +117,24 @@ def first_time(v: Column, paths: Sequence[str]) -> Column:
 
 
 def changed_paths(v: Column) -> Column:
-    """Up to 40 distinct files of the patch parts."""
-    parts = F.try_variant_get(v, "$.parts", "array<variant>")
+    """Up to 40 distinct files of the patch parts, from the first place that holds a list of parts; null without such a list."""
+    parts = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in PATCH_PATHS])
     patches = F.filter(parts, lambda p: string_at(p, "$.type") == "patch")
     files = F.flatten(F.transform(patches, lambda p: F.coalesce(F.try_variant_get(p, "$.files", "array<string>"), F.array().cast("array<string>"))))
     return F.slice(F.array_distinct(F.filter(F.transform(files, fx.strip), lambda f: f != "")), 1, 40)
 
 
+def patch_summary(v: Column) -> Column:
+    """The changed files as a list in a text block; empty if there are none."""
+    listed = F.transform(changed_paths(v), lambda f: F.concat(F.lit("- "), f))
+    block = F.concat(F.lit("```text\nCode changes:\n"), F.array_join(listed, "\n"), F.lit("\n```"))
+    return F.when(F.size(listed) > 0, block).otherwise("")
+
+
 def with_message_fields(messages: DataFrame, payload: str = "payload", position: str = "pos") -> DataFrame:
     """``role, reply, created_ms, message_key`` beside the columns given. The payload is parsed once.
 
-    The key is by id and fingerprint, else by content and time, else by position.
+    The key is by id and fingerprint (role, text and changed files), else by content and time, else by position.
     """
     m = messages.withColumn("_v", json(payload))
     v = F.col("_v")
@@ -134,8 +142,9 @@ def with_message_fields(messages: DataFrame, payload: str = "payload", position:
     known = F.coalesce("role", F.lit("unknown"))
     own = F.coalesce(*[_filled(scalar_at(v, p)) for p in ID_PATHS])
     flat = fx.strip(F.regexp_replace("reply", r"\s+", " "))
+    patch = F.when(F.contains(payload, F.lit("patch")), patch_summary(v))  # most payloads have none, and aren't searched for it
     content = F.concat_ws(":", F.lit("content"), known, F.col("created_ms").cast("string"), F.length(flat).cast("string"), F.substring(flat, 1, 400))
-    key = F.when(own.isNotNull(), F.concat_ws(":", F.lit("id"), own, fx.fingerprint(known, F.col("reply")))).when(flat != "", content)
+    key = F.when(own.isNotNull(), F.concat_ws(":", F.lit("id"), own, fx.fingerprint(known, F.col("reply"), patch))).when(flat != "", content)
     return m.withColumn("message_key", F.coalesce(key, F.concat(F.lit("fallback:"), F.col(position).cast("string")))).drop("_v")
 
 
@@ -276,6 +285,24 @@ def first_source(sources: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, owner: str, kind: str, first: Sequence[str]) -> DataFrame:
-    """``rows`` (one a kind of each owner) with ``place``: the kinds named first in that order, then the others by name."""
+    """``rows`` (one a kind of each owner) with ``place``: the kinds named first in that order, then the others by name, as a
+    dictionary orders them (by letters before case)."""
     rank = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(first)], F.lit(len(first)))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(rank, kind)))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(rank, F.collate(kind, "UNICODE"), kind)))
+
+
+def by_label(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` in the order of a dictionary of the columns, say a label and then a name; nulls first."""
+    return rows.orderBy(*[F.collate(c, "UNICODE") for c in columns], *columns)
+
+
+def with_unlisted(listed: DataFrame, others: DataFrame, key: str, kind: Sequence[str] = ("root", "instance")) -> DataFrame:
+    """``type`` and the columns of ``listed``: its rows, and those of ``others`` whose key it doesn't have. Null keys are none."""
+    new = others.where(F.col(key).isNotNull()).join(listed.select(key).distinct(), key, "left_anti")
+    return listed.select(F.lit(kind[0]).alias("type"), *listed.columns).unionByName(new.select(F.lit(kind[1]).alias("type"), *listed.columns))
+
+
+def merged_commands(fixed: DataFrame, found: DataFrame, fallback: DataFrame, key: str, most: int = 100) -> DataFrame:
+    """``key, source``: fixed commands, then those found, or the fallback where none was found; each once, the first ``most``."""
+    some = fallback if found.where(F.col(key).isNotNull()).isEmpty() else found
+    return first_source([fixed, some], key).orderBy("source", key).limit(most)

@@ -256,6 +256,18 @@ _DECLARED = """SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path
       WHEN 'function' THEN 'function ' || name || '(a) {' WHEN 'interface' THEN 'interface ' || name || ' {' WHEN 'enum' THEN 'enum ' || name || ' {'
       ELSE 'type ' || name || ' = a' END AS text
     FROM graph_nodes WHERE kind IN ('class', 'method', 'function', 'interface', 'enum', 'type_alias') AND regexp_full_match(name, '\\w+'))"""
+_FILE_LINES = r"""SELECT DISTINCT file_path, CAST(first + i - 1 AS INTEGER) AS line, ls[i] AS text FROM (SELECT file_path, first, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
+    SELECT regexp_replace(replace(file_path, '\', '/'), '/(\.?/)+', '/', 'g') AS file_path, coalesce(start_line, 1) AS first, string_split(content, chr(10)) AS ls
+    FROM code_chunks WHERE content IS NOT NULL))"""
+_REFERENCES = rf"""WITH l AS ({_FILE_LINES}), s AS ({_symbols('file_path', 'SELECT * FROM l')}),
+    r AS (SELECT file_path, line, 'calls' AS kind, name FROM (SELECT *, unnest(regexp_extract_all(text, '(\w+)\(', 1)) AS name FROM l)
+        WHERE NOT contains(text, 'function ' || name) AND NOT contains(text, 'const ' || name)
+      UNION SELECT file_path, line, 'instantiates', regexp_extract(text, '\bnew\s+(\w+)\s*\(', 1) FROM l WHERE regexp_matches(text, '\bnew\s+(\w+)\s*\(')
+      UNION SELECT file_path, line, 'extends', regexp_extract(text, '\bextends\s+(\w+)', 1) FROM l WHERE regexp_matches(text, '\bextends\s+(\w+)')),
+    t AS (SELECT file_path, name, arg_min(qualified_name, (line, qualified_name)) AS target, bool_or(kind IN ('function', 'method')) AS f, bool_or(kind = 'class') AS c FROM s GROUP BY 1, 2),
+    k AS (SELECT r.*, target FROM r JOIN t USING (file_path, name) WHERE CASE WHEN r.kind = 'calls' THEN f ELSE c END)
+    SELECT DISTINCT k.file_path, k.line, k.kind, max_by(s.qualified_name, (s.line, s.qualified_name)) AS source, k.target
+    FROM k JOIN s ON s.file_path = k.file_path AND s.line <= k.line GROUP BY k.file_path, k.line, k.kind, k.name, k.target HAVING source <> k.target"""
 _SLOTS = r"""words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda w: length(w) > 2) AS ws FROM documents),
     freq AS (SELECT doc_id, n, w, count(*) AS c FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM words) GROUP BY ALL),
     hashed AS (SELECT DISTINCT w, abs(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(w, ''), lambda x: CAST(ascii(x) AS BIGINT))),
@@ -284,6 +296,7 @@ ORACLE = {
     "asof_symbol": """SELECT u.file_path, u.line, u.reference_kind,
       (SELECT max_by(n.qualified_name, (n.start_line, n.qualified_name)) FROM graph_nodes n WHERE n.file_path = u.file_path AND n.start_line <= u.line) AS inside
       FROM (SELECT DISTINCT file_path, line, reference_kind FROM unresolved_refs WHERE file_path IS NOT NULL AND line IS NOT NULL) u""",
+    "extract_references": _REFERENCES,
     "normalize_import_path": "SELECT DISTINCT source_file, target_file AS normal FROM dependency_graph WHERE starts_with(target_file, '/') AND starts_with(source_file, '/')",
     "language_of": f"""SELECT DISTINCT file_path, CASE WHEN {_EXT} IN ('ts', 'tsx') THEN 'typescript' WHEN {_EXT} IN ('js', 'jsx') THEN 'javascript' WHEN {_EXT} = 'py' THEN 'python'
       WHEN {_EXT} = 'rs' THEN 'rust' WHEN {_EXT} IN ('c', 'h') THEN 'c' WHEN {_EXT} IN ('cpp', 'hpp') THEN 'cpp' WHEN {_EXT} IN ('go', 'java', 'json') THEN {_EXT} ELSE 'text' END AS lang FROM graph_nodes""",

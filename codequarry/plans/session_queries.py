@@ -199,6 +199,13 @@ def state_merge(spark, d):
     return index.merge_by_key(_users(spark, d, False), _users(spark, d, True), ["user_id"], keep=["started_at"], fill=["value"])
 
 
+def listed_projects(spark, d):
+    """The configured projects, and after them those that only have documents."""
+    label = F.regexp_extract("project_path", "([^/]*)$", 1).alias("label")
+    roots = table(spark, d, "chunk_config").select("project_path", label)
+    return sessions.with_unlisted(roots, table(spark, d, "documents").select("project_path", label).distinct(), "project_path")
+
+
 def first_free_number(spark, d):
     """The smallest line number that no node of a file starts at."""
     return sessions.first_free(table(spark, d, "graph_nodes"), "file_path", "start_line")
@@ -293,7 +300,7 @@ QUERIES = {f.__name__: f for f in (
     message_roles, extract_reply, message_times, message_keys, latest_reply, last_n_messages, fresh_messages, message_delta,
     session_activity, pick_session, resolve_selector, root_match, belongs_to_project, slugify_titles, unique_slugs,
     parse_timestamps, ulid_timestamp, normalize_paths, path_hash_id, parse_retry_wait, parse_commands, format_results, html_sniff,
-    json_key_search, best_message_array, state_merge, first_free_number, instance_status, ranked_kinds, fallback_filter,
+    json_key_search, best_message_array, state_merge, listed_projects, first_free_number, instance_status, ranked_kinds, fallback_filter,
     priority_union, debounce_batch, window_counts, sliding_counts, dedupe_events, session_idle_batch, sse_frames, poll_deltas,
     watched_changes,
 )}
@@ -371,6 +378,9 @@ ORACLE = {
       SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.started_at, b.started_at) AS started_at, coalesce(b.updated_at, a.updated_at) AS updated_at,
         coalesce(b.status, a.status) AS status, coalesce(CASE WHEN b.status <> 'error' THEN b.v END, CASE WHEN a.status <> 'error' THEN a.v END) AS value
       FROM a FULL JOIN b ON a.user_id = b.user_id""",
+    "listed_projects": r"""WITH p AS (SELECT DISTINCT project_path FROM documents WHERE project_path IS NOT NULL)
+      SELECT 'root' AS type, project_path, regexp_extract(project_path, '([^/]*)$', 1) AS label FROM chunk_config
+      UNION ALL SELECT 'instance', project_path, regexp_extract(project_path, '([^/]*)$', 1) FROM p WHERE project_path NOT IN (SELECT project_path FROM chunk_config)""",
     "first_free_number": """WITH n AS (SELECT DISTINCT file_path, CAST(start_line AS BIGINT) AS n FROM graph_nodes WHERE start_line >= 1)
       SELECT file_path, min(n) AS free FROM (SELECT file_path, n + 1 AS n FROM n UNION SELECT file_path, 1 FROM n) c
       WHERE NOT EXISTS (SELECT 1 FROM n u WHERE u.file_path = c.file_path AND u.n = c.n) GROUP BY 1""",
@@ -398,6 +408,13 @@ ORACLE = {
       WHERE hit IS NOT NULL OR lim * 1000 <= (SELECT max(epoch_us(ts)) FROM events)""",
     "sse_frames": """SELECT CAST(user_id AS VARCHAR) AS connection, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props AS payload
       FROM events WHERE props IS NOT NULL""",
+    "poll_deltas": """WITH p AS (SELECT user_id, ts, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
+      a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, n) AS pos,
+        greatest(n - coalesce(max(n) OVER (PARTITION BY user_id ORDER BY ts, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS added FROM p),
+      s AS (SELECT *, max(CASE WHEN added > 0 THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS began FROM a),
+      e AS (SELECT user_id, min(pos) FILTER (pos - began >= 5) AS stop FROM s GROUP BY 1)
+      SELECT CAST(user_id AS VARCHAR) AS session, CAST(sum(added) AS BIGINT) AS added, count(*) AS polls, max(coalesce(pos = stop, false)) AS done
+      FROM s JOIN e USING (user_id) WHERE stop IS NULL OR pos <= stop GROUP BY 1""",
     "watched_changes": f"""WITH b AS ({_LASTHASH.format("indexed_at < '2025-10-01'")}), a AS ({_LASTHASH.format("indexed_at >= '2025-06-01'")})
       SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN b.file_path IS NULL THEN 'add' WHEN a.file_path IS NULL THEN 'unlink' ELSE 'change' END AS change
       FROM a FULL JOIN b ON a.file_path = b.file_path WHERE a.h IS DISTINCT FROM b.h""",

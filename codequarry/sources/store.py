@@ -110,3 +110,9 @@ class Store:
         """Without the rows for which the SQL condition is true."""
         full = self.read(name)
         self.swap(name, full.limit(0), full.where(F.coalesce(F.expr(where), F.lit(False))), full.columns)
+
+    def update(self, name: str, where: str, values: dict[str, Column]) -> None:
+        """The rows for which the SQL condition is true, with new values in some columns."""
+        full = self.read(name)
+        hit = full.where(F.coalesce(F.expr(where), F.lit(False)))
+        self.swap(name, hit.withColumns(values), hit, full.columns)

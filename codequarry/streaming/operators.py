@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codequarry.sources.store import changed_partitions
@@ -157,11 +158,21 @@ def poll_deltas(polls: DataFrame, session: str, ts: str, count: str, most_empty:
     """Stream or batch of polls (session, time, number of messages so far): what each poll adds and whether it ends the watch.
 
     ``session, ts, added, done``: a watch is done after ``most_empty`` polls in a row without a new message, once something
-    was seen. Polls after that give no row.
+    was seen. Polls after that give no row. A poll without a number adds nothing. A batch is one sort by session and time.
     """
     schema = f"{session} string, {ts} timestamp, added long, done boolean"
     p = polls.select(F.col(session).cast("string").alias(session), F.col(ts).cast("timestamp").alias(ts), F.col(count).cast("long").alias(count))
 
+    if not polls.isStreaming:
+        so_far = W.partitionBy(session).orderBy(ts, count).rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = so_far.rowsBetween(W.unboundedPreceding, -1)
+        p = p.withColumn("added", F.greatest(F.coalesce(F.col(count) - F.coalesce(F.max(count).over(before), F.lit(0)), F.lit(0)), F.lit(0)))
+        p = p.withColumn("_at", F.count(F.lit(1)).over(so_far))
+        p = p.withColumn("_empty", F.col("_at") - F.max(F.when(F.col("added") > 0, F.col("_at"))).over(so_far))
+        p = p.withColumn("done", F.coalesce(F.col("_empty") >= most_empty, F.lit(False)))
+        p = p.withColumn("_over", F.coalesce(F.max("done").over(before), F.lit(False)))
+        return p.where(~F.col("_over")).select(session, ts, "added", "done")
+
     def play(name: str, rows: pd.DataFrame, seen: int, empty: int, done: bool) -> tuple[list, int, int, bool]:
         out = []
         for t, n in zip(rows[ts], rows[count]):
@@ -173,30 +184,13 @@ def poll_deltas(polls: DataFrame, session: str, ts: str, count: str, most_empty:
             out.append((name, t, added, done))
         return out, seen, empty, done
 
-    names = [session, ts, "added", "done"]
-    if polls.isStreaming:
-
-        def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            seen, empty, done = state.get if state.exists else (0, 0, False)
-            out, *now = play(key[0], pd.concat(batches).sort_values([ts, count]), seen, empty, done)
-            state.update(tuple(now))
-            yield pd.DataFrame(out, columns=names)
-
-        return p.groupBy(session).applyInPandasWithState(step, schema, "seen long, empty long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, empty, done = state.get if state.exists else (0, 0, False)
+        out, *now = play(key[0], pd.concat(batches).sort_values([ts, count]), seen, empty, done)
+        state.update(tuple(now))
+        yield pd.DataFrame(out, columns=[session, ts, "added", "done"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = None, (0, 0, False)
-        for b in batches:
-            rows: list = []
-            for name, part in b.groupby(session, sort=False):
-                if name != held:
-                    held, now = name, (0, 0, False)
-                out, *state = play(name, part, *now)
-                now = tuple(state)
-                rows += out
-            yield pd.DataFrame(rows, columns=names)
-
-    return p.repartition(session).sortWithinPartitions(session, ts, count).mapInPandas(run, schema)
+    return p.groupBy(session).applyInPandasWithState(step, schema, "seen long, empty long, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def reindex_sink(path: str, build: Callable[[DataFrame], DataFrame], keys: list[str], partition: str = "project_path") -> Callable[[DataFrame, int], None]:

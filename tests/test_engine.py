@@ -89,5 +89,9 @@ def test_providers(spark):
 
     got = providers.summarize(rows, "t", "s", unsteady, longest=2, batch=1, base_s=0.0)
     assert {r.id: r.s for r in got.collect()} == {"a": "AB...", "b": "", "c": " "} and got.columns == ["id", "t", "s"]
+    broken = lambda: lambda texts: 1 / 0
+    assert {r.s for r in providers.summarize(rows, "t", "s", broken, retries=0).collect()} == {""}
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        providers.summarize(rows, "t", "s", broken, retries=0, failed=None).collect()
     texts = spark.createDataFrame([("\n  // Makes it.\ncode",), (None,), ("",)], "t string").select(providers.local_summary(F.col("t")).alias("s")).collect()
     assert [r.s for r in texts] == ["Makes it.", "", ""]

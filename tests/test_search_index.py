@@ -136,6 +136,8 @@ def test_text_functions(spark):
     assert val(fx.ulid_ms(F.lit("ses_01HF7YAT00ABCDEFGHJKMNPQRS"))) == 1700000000000 and val(fx.ulid_ms(F.lit("01HF"))) is None
     assert val(fx.normal_path(F.lit(" /A/b// "))) == "/A/b" and val(fx.normal_path(F.lit("//"))) == "/" and val(fx.normal_path(F.lit(" "))) is None
     assert val(fx.slug(F.lit("  Ünï code! "), 5)) == "n-cod" and val(fx.slug(F.lit(None).cast("string"))) == "untitled"
+    assert val(fx.scoped_parts(F.lit("-7::/w/x::y"))) == (-7.0, "/w/x::y") and all(val(fx.scoped_parts(F.lit(x))) is None for x in ("::/w", "7::", "a::/w", "7:/w", ""))
+    assert val(fx.scoped_path(F.lit(7), F.lit("/w"))) == "7::/w"
     assert val(fx.retry_wait_ms(F.lit("try again in 1.2s"))) == 1200 and val(fx.retry_wait_ms(F.lit("no"))) is None
     assert val(fx.command(F.lit(" /New-Task@bot a b"))) == "new_task" and val(fx.command_arguments(F.lit(" /New-Task@bot a b"))) == "a b"
 
@@ -173,6 +175,9 @@ def test_scan_store_and_config(spark, tmp_path):
     assert {(r.id, r.content) for r in store.read("code_chunks").collect()} == {("src/b.py", "b"), ("new", "let changed")}
     store.delete("code_chunks", "file_path = 'src/b.py' OR summary = 'x'")
     assert [r.id for r in store.read("code_chunks").collect()] == ["new"]
+    store.update("code_chunks", "id = 'new'", {"summary": F.upper("content")})
+    store.update("code_chunks", "id = 'none'", {"summary": F.lit("lost")})
+    assert [(r.id, r.summary, r.content) for r in store.read("code_chunks").collect()] == [("new", "LET CHANGED", "let changed")]
     with pytest.raises(ValueError):
         store.append("code_chunks", spark.createDataFrame([(1,)], "unknown int"))
     assert files.read_config('{"a": 1, /* c */ "b": {"x": "// no", "y": [1, 2,],},} // end', {"b": {"z": 3}}) == {"a": 1, "b": {"z": 3, "x": "// no", "y": [1, 2]}}
@@ -193,6 +198,10 @@ def test_word_index_gives_the_same_scores(spark, tmp_path):
         assert sorted((r.id, round(r.score, 9)) for r in ix.scores(query, "id").collect()) == want
     plan = ix.scores("vector", "id")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    big = spark.range(4000).select("id", F.concat_ws(" ", F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 300)).alias("t"))
+    many = ranking.WordIndex(spark, str(tmp_path / "big")).write(big.repartition(50), "id", "t")
+    files_of = list((tmp_path / "big/postings").glob("*/*.parquet"))
+    assert len(files_of) < 64 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) and many.scores("hot", "id").count() == 4000
     empty = ranking.WordIndex(spark, str(tmp_path / "none")).write(docs.limit(0), "id", "t")
     assert empty.scores("cache", "id").count() == 0
 

@@ -200,3 +200,28 @@ def test_groups_numbers_and_fallbacks(spark):
     assert {(r.owner, r.grp): r.place for r in s.ranked(rows.select("owner", "grp").distinct(), "owner", "grp", ("b",)).collect()}["u", "b"] == 1
     v = spark.createDataFrame([('{"properties": {"info": {"sessionID": " s1 "}}}',), ('{"session": {"id": "s2"}}',), ("{}",), (None,)], "p string")
     assert [r[0] for r in v.select(s.event_session(s.json("p"))).collect()] == ["s1", "s2", None, None]
+
+
+def test_polls_of_a_batch(spark):
+    schema = "s string, ts timestamp, n long"
+    rows = [("a", T0, 1), ("a", T0, 1), ("a", T0 + timedelta(seconds=1), None), ("a", T0 + timedelta(seconds=2), 0), ("a", T0 + timedelta(seconds=3), 9), ("z", T0, None)]
+    out = streams.poll_deltas(spark.createDataFrame(rows, schema), "s", "ts", "n", 2)
+    assert [(r.added, r.done) for r in out.orderBy("s", "ts", "done").collect()] == [(1, False), (0, False), (0, True), (0, False)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert streams.poll_deltas(spark.createDataFrame([], schema), "s", "ts", "n").count() == 0
+
+
+def test_patches_labels_and_lists(spark):
+    rows = [(0, '{"id": "m", "message": {"parts": [{"type": "patch", "files": ["b.ts", " b.ts ", "a.ts"]}]}}'), (1, '{"id": "m", "text": "patch"}')]
+    m = s.with_message_fields(spark.createDataFrame(rows, "pos int, payload string"))
+    flat = "unknown||```text Code changes: - b.ts - a.ts ```"
+    assert [r.message_key for r in m.orderBy("pos").collect()] == [f"id:m:{len(flat)}:{flat}", "id:m:14:unknown|patch|"]
+    names = spark.createDataFrame([("b", 1), ("B", 2), ("a", 3), ("É", 4), ("f", 5), (None, 6)], "n string, i int")
+    assert [r.n for r in s.by_label(names, "n").collect()] == [None, "a", "b", "B", "É", "f"]
+    roots, more = spark.createDataFrame([("/a", 1)], "path string, n int"), spark.createDataFrame([("/a", 2), ("/b", 3), (None, 4)], "path string, n int")
+    assert {tuple(r) for r in s.with_unlisted(roots, more, "path").collect()} == {("root", "/a", 1), ("instance", "/b", 3)}
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "c string")
+    pick = lambda *f: [tuple(r) for r in s.merged_commands(*f, "c").collect()]
+    assert pick(one("a", "b"), one("b", "c"), one("d")) == [("a", 0), ("b", 0), ("c", 1)]
+    assert pick(one("a"), one(None), one("d", "a")) == [("a", 0), ("d", 1)]
