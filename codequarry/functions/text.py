@@ -39,8 +39,8 @@ def query_tokens(text: str) -> list[str]:
 
 
 def strip(c: str | Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(_col(c), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", "")
+    """Without outer white space of any kind. Blanks inside are looked at once, however many."""
+    return F.regexp_replace(_col(c), r"^[\s\p{Z}\x{FEFF}]+|(?<![\s\p{Z}\x{FEFF}])[\s\p{Z}\x{FEFF}]++\z", "")
 
 
 def slug(c: str | Column, longest: int = 48, default: str = "untitled") -> Column:

@@ -158,7 +158,7 @@ def fit_pieces(text: str, longest: int) -> list[str]:
 def split_messages(rows: DataFrame, key: str, text: str, longest: int = 3900) -> DataFrame:
     """``key, piece_no, piece``: texts cut for a sink that takes ``longest`` characters. Null and blank ones have none."""
     short = F.char_length(text) <= longest
-    trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+    trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++\z", "")
     whole = rows.where(short).select(F.col(key).cast("string").alias(key), F.lit(0).alias("piece_no"), trimmed.alias("piece")).where(F.col("piece") != "")
     src = rows.where(~short).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
 

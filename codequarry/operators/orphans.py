@@ -83,7 +83,7 @@ def code_references(dependencies: DataFrame, edges: DataFrame, unresolved: DataF
     Ids are taken in lower case; names without outer blanks and without one final ``()``. Null and blank keys are none.
     """
     none = F.lit(None).cast("string")
-    key = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    key = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|(?<!\s)\s++$", ""), F.lit(""))
     ids = lambda df, t, a, b: df.select(F.lit(t).alias("ref_table"), F.col(a).alias("from_id"), F.col("indexed_at").alias("at"), F.lower(key(F.col(b))).alias("id_key"), none.alias("name_key"))
     name = key(F.regexp_replace(key(F.col("reference_name")), r"\(\)\z", ""))
     names = unresolved.select(F.lit("unresolved_refs").alias("ref_table"), F.col("from_node_id").alias("from_id"), F.col("indexed_at").alias("at"), none.alias("id_key"), name.alias("name_key"))
@@ -96,7 +96,7 @@ def placed_references(unresolved: DataFrame) -> DataFrame:
 
     Names are without outer blanks and one final ``()``; blank values are null.
     """
-    key = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    key = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|(?<!\s)\s++$", ""), F.lit(""))
     name = key(F.regexp_replace(key(F.col("reference_name")), r"\(\)\z", ""))
     return unresolved.select(F.col("from_node_id").alias("from_id"), F.col("indexed_at").alias("at"), name.alias("name"), F.nullif("file_path", F.lit("")).alias("file_path"), F.nullif("language", F.lit("")).alias("language")).distinct()
 

@@ -137,6 +137,8 @@ def test_text_functions(spark):
     assert val(fx.normal_path(F.lit(" /A/b// "))) == "/A/b" and val(fx.normal_path(F.lit("//"))) == "/" and val(fx.normal_path(F.lit(" "))) is None
     assert val(fx.slug(F.lit("  Ünï code! "), 5)) == "n-cod" and val(fx.slug(F.lit(None).cast("string"))) == "untitled"
     assert val(fx.scoped_parts(F.lit("-7::/w/x::y"))) == (-7.0, "/w/x::y") and all(val(fx.scoped_parts(F.lit(x))) is None for x in ("::/w", "7::", "a::/w", "7:/w", ""))
+    odd = F.concat(F.lit(" \ufeffa"), F.repeat(F.lit(" \n"), F.lit(500_000)), F.lit("b\u00a0\n"))
+    assert val(F.length(fx.strip(odd))) == 1_000_002 and val(fx.strip(F.repeat(F.lit(" "), F.lit(1_000_000)))) == "" and val(fx.strip(F.lit(" a b\n"))) == "a b"
     assert val(fx.scoped_path(F.lit(7), F.lit("/w"))) == "7::/w"
     assert val(fx.retry_wait_ms(F.lit("try again in 1.2s"))) == 1200 and val(fx.retry_wait_ms(F.lit("no"))) is None
     assert val(fx.command(F.lit(" /New-Task@bot a b"))) == "new_task" and val(fx.command_arguments(F.lit(" /New-Task@bot a b"))) == "a b"
