@@ -23,7 +23,7 @@ DEEPEST = 5  #: levels at most: keys are 53 bits wide
 
 def source_label(c: str | Column) -> Column:
     """Labels that differ only in letter case or outer blanks are one; null and blank ones are none."""
-    return F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(c, r"^\s+|(?<!\s)\s++$", "")), F.lit(""))
 
 
 def letter_share(text: str | Column) -> Column:

@@ -19,7 +19,7 @@ _BREAK = re.compile(r"\r\n|\n|\r")
 #: Boundaries from the strongest down, each as the end of its match: blank line; line break before an unindented line that
 #: closes nothing; line break; end of a sentence or statement; white space. Anything else is the last resort.
 _BOUNDARIES = [
-    re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*(?=\S)"),
+    re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*(?=\S|\Z)"),  # blank lines at the end are passed in one step
     re.compile(r"(?:\r\n|\n|\r)(?=[^\s})\]])"),
     re.compile(r"\r\n|\n|\r"),
     re.compile(r"[.!?;}][\"')\]]*\s+|[。！？；][」』”’）]*"),

@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,6 +30,13 @@ def test_cuts_at_natural_places():
     assert all("\r\n" not in "x" + text2[e - 1 : e + 1] for text2 in ["ab\r\n" * 5] for _, e in split.bisect_spans(text2, 7, 0)[:-1])
 
 
+def test_long_blank_texts_stay_linear():
+    for text in ("x" + "\n" * 1_000_000, " \r\n" * 300_000, "}" * 500_000 + " " * 500_000, "\n\n" * 200_000 + "x"):
+        began = time.time()
+        spans = split.bisect_spans(text, 5000, 50)
+        assert time.time() - began < 20 and spans[-1][1] == len(text) and all(e - s <= 5000 for s, e in spans)
+
+
 def test_rows(spark):
     rows = [
         ("a", "p", "x" * 11, 5, 1, 1), ("a", "p", "x" * 11, 5, 1, 1), ("b", "p", "x" * 10, 1, 1, 1), ("c", "p", None, 1, 1, 1), ("d", "q", "x" * 99, 1, 1, 1),
